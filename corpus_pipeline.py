@@ -1,35 +1,78 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of ``documents``. Rows are told apart by doc_id; rows that share an id, or
+have none, by id and text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from panelmill.llm import exact_dedup, packing
-from panelmill.llm._common import materialize, sized
+from panelmill.llm import decontamination, exact_dedup, jaccard_join, packing, quality
+from panelmill.llm._common import ascii_lower, materialize, sized
 from panelmill.llm.queries import tokenizer_file
 
 
-def _keep(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids in ``drop``."""
-    return docs.join(sized(materialize(drop, "drop")), "doc_id", "left_anti")
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like any other."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("not kept").select("doc_id"))
+    """Of equal texts (A-Z lower-cased) one row stays: the one with the largest doc_id."""
+    rows = materialize(exact_dedup.exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "decisions")
+    by_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    drop = materialize(by_id.where("n = 1 and kept = 0 and doc_id is not null").select("doc_id"), "drop")
+    shared = materialize(by_id.where("n > 1 or doc_id is null").select("doc_id"), "shared")
+    rest = docs.join(sized(drop), "doc_id", "left_anti").select(docs.columns)
+    if shared.isEmpty():
+        return rest
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
+    apart = rest.alias("d").join(sized(shared).alias("s"), same, "left_anti")
+    digest = F.sha2(ascii_lower("text"), 256)
+    own = Window.partitionBy("doc_id", "digest_").orderBy("text")
+    several = rest.alias("d").join(sized(shared).alias("s"), same, "left_semi").withColumn("digest_", digest).withColumn("nth_", F.row_number().over(own))
+    keep = rows.where("kept").alias("k")
+    stays = several.where("nth_ = 1").alias("d").join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.digest_") == F.col("k.text_sha256")), "left_semi")
+    return apart.select(docs.columns).unionByName(stays.select(docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least doc_id. Rows without an id stay."""
+    rows = jaccard_join.jaccard_components(docs)
+    drop = materialize(rows.where("doc_id <> component_id").select("doc_id"), "drop")
+    return docs.join(sized(drop), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark contaminates go."""
+    rows = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    drop = materialize(rows.where("contaminated").select("doc_id", "text_key"), "drop").alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.key_") == F.col("x.text_key"))
+    return docs.withColumn("key_", decontamination.text_key()).alias("d").join(sized(drop), same, "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: a row per piece, as query op2_packing returns them."""
     return packing.pack_digests(docs, tokenizer_file())
 
 
-STAGES = [("exact dedup", drop_copies), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", reject_poor),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-#: A trained model has no SQL; tests hold the stages against brute force.
+#: A trained model has no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

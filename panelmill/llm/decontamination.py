@@ -27,7 +27,7 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATORS), "")
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.octet_length("text"))
 
 
@@ -43,7 +43,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings (doc_id, text_key, pos, term) of the terms in ``vocabulary`` (term: 64-bit hash), and a closing one per row."""
     terms = vocabulary.select("term").union(docs.sparkSession.range(1).select(closing().alias("term"))).distinct()
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.posexplode(F.concat(words(), F.array(F.lit("")))).alias("pos", "word"))
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.posexplode(F.concat(words(), F.array(F.lit("")))).alias("pos", "word"))
     postings = tokens.select("doc_id", "text_key", "pos", F.xxhash64("word").alias("term")).join(sized(terms), "term", "left_semi")
     return materialize(postings.sortWithinPartitions("term"), "postings")
 
@@ -86,7 +86,7 @@ def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window:
     maybe = lines.join(small.select("item", "looks"), "item").where(_all_found("spots"))
     by_doc = materialize(maybe.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "diag")).alias("lines")), "candidates")
     same = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_key") == F.col("c.text_key")]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text")).alias("d")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text")).alias("d")
     both = texts.join(sized(by_doc, 50_000).alias("c"), same).select("d.doc_id", "d.text_key", words("d.text").alias("words"), "lines")
     # only the stretch of the document that the item would cover goes on
     longest = looked.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
@@ -102,7 +102,7 @@ def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_key (a hash of the text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words: runs of anything but ASCII non-alphanumerics, A-Z lower-cased. A word is hit inside any occurrence of a
     window: ``window`` consecutive item words, or all of a shorter item. Contaminated: n_hit > 0 and
@@ -122,6 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
         "r.doc_id",
+        "r.text_key",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
