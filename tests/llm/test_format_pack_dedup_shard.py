@@ -118,6 +118,18 @@ def test_packing_edges(spark, docs, no_docs, clashing):
     assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", " \n", "\n ", "\u00a0", "\u2003", "\x1c", "a", "word", "it's", "don't", "42", "é", "𝔘", "!!", "<|endoftext|>", "\t", ".", "ß x"]), max_size=14))
+def test_chunks_encode_as_the_whole(parts):
+    from tokenizers import Tokenizer
+
+    text = "".join(parts)
+    encode = P.ChunkEncoder(tokenizer_file(), most=4)
+    want = Tokenizer.from_file(tokenizer_file()).encode(text, add_special_tokens=False).ids
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode([text, text])] == [want, want]
+
+
 def test_rounds_exchange_between_parts(spark):
     sizes = [(i, 100 + (i * 7919) % 900) for i in range(4000)]
     out = rows(P.pack(spark.createDataFrame(sizes, "pid long, length long"), rows_per_part=500))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelmill.llm import license_scan as S
 from panelmill.llm import quality as Q
+from panelmill.llm._common import materialize
 from panelmill.llm.queries import QUERIES
 from tests.llm.test_format_pack_dedup_shard import check_packing, rows
 from tests.llm.test_secrets_jaccard_decontamination_lines import LOW, contamination_expected, jaccard_expected, read
@@ -121,7 +122,7 @@ def test_pipeline_by_stage(spark, sf_dir):
     labels = dict(read(spark, sf_dir, "labels", "doc_id", "quality"))
     seen = [docs]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen[-1], sf_dir).localCheckpoint()
+        out = materialize(stage(spark, seen[-1], sf_dir), "test")
         assert out.columns == docs.columns
         seen.append(out)
     text = [dict(tuple(r) for r in d.select("doc_id", "text").collect()) for d in seen]
