@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm import decontamination, exact_dedup, jaccard_join, packing, quality
-from panelmill.llm._common import ascii_lower, materialize, sized
+from panelmill.llm._common import ascii_lower, materialize, sized, tune
 from panelmill.llm.queries import tokenizer_file
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null and empty texts are scored like any other."""
+    tune(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 

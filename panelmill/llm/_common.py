@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def tune(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts small: a task's Python side then needs a few batches of 4 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder once and read it back."""
     path = f"{shared_dir(df.sparkSession)}/panelmill-{name}-{uuid.uuid4().hex}"
@@ -82,7 +87,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple
     return (_LOWER_BYTES[raw] if lower else raw), off - (off[0] if len(off) else 0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into ones of about ``most`` bytes of text, so that memory doesn't follow the batch size.
 
     A single longer text makes a slice of its own.
@@ -123,19 +128,16 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
-with np.errstate(over="ignore"):
-    for _i in range(1, 64):
-        _POWERS[_i] = _POWERS[_i - 1] * _MULT
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift, multiply, shift)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -143,9 +145,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
     local = np.cumsum(lengths) - lengths
-    place = np.arange(total, dtype=np.int64) - np.repeat(local, lengths)
-    code = raw[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)
-    terms = mix(code + (place.astype(np.uint64) << np.uint64(9)))
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(local, lengths)
+    terms = raw[np.repeat(starts, lengths) + place].astype(np.uint64)
+    terms += np.uint64(1)
+    terms += place.view(np.uint64) << np.uint64(9)
+    terms = mix(terms)
     return mix(np.add.reduceat(terms, local) + lengths.astype(np.uint64) * _MULT)

@@ -33,7 +33,8 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _SPREAD = [mix(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(64)]
 
 HEAVY_MOST = 1 << 17
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
+DEALT_TOKENS = 500_000
 BLOCK_SETS = 512
 BLOCK_TOKENS = 1_000_000
 
@@ -82,8 +83,8 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - -(-n * percent // 100) + 1
 
 
-def _distinct_classes(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the first text of each class in a slice: all tokens, their classes, set sizes; and the classes."""
+def _distinct_classes(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first text of each class in a slice: all tokens, their classes and set sizes."""
     sets, off = shingle_sets(batch.column("text"), width)
     ids, size = class_ids(sets, off), np.diff(off)
     _, first = np.unique(ids, return_index=True)
@@ -92,7 +93,7 @@ def _distinct_classes(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np
     use &= size > 0
     of = np.repeat(np.arange(len(ids)), size)
     mine = use[of]
-    return sets[mine], ids[of[mine]], size[of[mine]], ids[use]
+    return sets[mine], ids[of[mine]], size[of[mine]].astype(np.int32)
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
@@ -115,6 +116,15 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, class_id long")
 
 
+BLOB = ["bucket", "token", "class_id", "n", "plain", "times"]
+
+
+def _cut(column: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of ``column`` between neighbouring places of ``at``."""
+    raw, w = column.tobytes(), column.itemsize
+    return pa.array([raw[a * w : b * w] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(column)])], pa.binary())
+
+
 def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, width: int) -> DataFrame:
     """(class_id, token, df, n, plain) of tokens that several classes hold, and of frequent tokens that a prefix reaches.
 
@@ -126,38 +136,54 @@ def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, wi
     shared = spark.sparkContext.broadcast((heavy_sorted, by_token.astype(np.int64)))
     bits = np.uint64(64 - max(buckets.bit_length() - 1, 1))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixed(token: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Without frequent tokens that no prefix reaches; then how many plain tokens the class has, -1 on frequent ones."""
         known, rank_of = shared.value
-        for batch in slices(batches, most=8_000_000):
-            token, owner, size, _ = _distinct_classes(batch, width)
-            if not len(token):
-                continue
-            at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-            hot = known[at] == token if len(known) else np.zeros(len(token), bool)
-            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            plain = np.repeat(np.add.reduceat((~hot).astype(np.int64), start), np.diff(np.append(start, len(token))))
-            forced = np.zeros(len(token), bool)
-            due = prefix_length(size, percent) - plain
-            some = np.flatnonzero(hot & (due > 0))
-            if len(some):  # the first `due` frequent tokens of a class, by their rank
-                order = some[np.lexsort((rank_of[at[some]], owner[some]))]
-                new = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
-                begin = np.flatnonzero(new)
-                place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-                forced[order[place < due[order]]] = True
-            use = ~hot | forced
-            token, owner, size, plain, forced = token[use], owner[use], size[use], plain[use], forced[use]
-            bucket = ((np.where(forced, mix(owner.view(np.uint64)), token)) >> bits).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+        hot = known[at] == token if len(known) else np.zeros(len(token), bool)
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        plain = np.repeat(np.add.reduceat((~hot).astype(np.int32), start), np.diff(np.append(start, len(token))))
+        some = np.flatnonzero(hot & (prefix_length(size, percent) > plain))
+        forced = np.zeros(len(token), bool)
+        if len(some):  # the first frequent tokens of a class, by their rank, as many as its prefix still needs
+            order = some[np.lexsort((rank_of[at[some]], owner[some]))]
+            begin = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
+            place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+            forced[order[place < (prefix_length(size, percent) - plain)[order]]] = True
+        use = ~hot | forced
+        return token[use], owner[use], size[use], np.where(forced, -1, plain)[use].astype(np.int32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def close() -> pa.RecordBatch:
+            token, owner, size, plain = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            bucket = (np.where(plain < 0, mix(owner.view(np.uint64)), token) >> bits).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            cols = (token[order].view(np.int64), owner[order], size[order].astype(np.int32), np.where(forced, -1, plain)[order].astype(np.int32))
-            found, first = np.unique(bucket[order], return_index=True)
-            ends = np.append(first[1:], len(order))
-            parts = [[c[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "token", "class_id", "n", "plain"])
+            bucket, token, owner, size, plain = (c[order] for c in (bucket, token, owner, size, plain))
+            found, first = np.unique(bucket, return_index=True)
+            # tokens one by one; class, size and plain count once per run, with its length
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]) | (plain[1:] != plain[:-1])])
+            runs = np.flatnonzero(new)
+            lengths = np.diff(np.append(runs, len(token))).astype(np.int32)
+            parts = [_cut(token, first)]
+            parts += [_cut(c, np.searchsorted(runs, first)) for c in (owner[runs], size[runs], plain[runs], lengths)]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *parts], names=BLOB)
+
+        for batch in slices(batches):
+            token, owner, size = _distinct_classes(batch, width)
+            if len(token):
+                held.append(prefixed(token, owner, size))
+            if sum(len(h[0]) for h in held) >= DEALT_TOKENS:
+                yield close()
+        if held:
+            yield close()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(parts: list[list[bytes]]) -> pa.RecordBatch:
-            token, owner, n, plain = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int32)))
+            token, owner, n, plain, times = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int32, np.int32)))
+            owner, n, plain = (np.repeat(c, times) for c in (owner, n, plain))
             order = np.lexsort((owner, token))
             token, owner, n, plain = token[order], owner[order], n[order], plain[order]
             keep = np.ones(len(token), bool)
@@ -170,19 +196,19 @@ def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, wi
             use = forced | (df > 1)
             return pa.RecordBatch.from_arrays([pa.array(owner[use]), pa.array(token[use].view(np.int64)), pa.array(df[use].astype(np.int64), mask=forced[use]), pa.array(n[use].astype(np.int64)), pa.array(plain[use].astype(np.int64))], names=["class_id", "token", "df", "n", "plain"])
 
-        now, parts = None, [[], [], [], []]
+        now, parts = None, [[] for _ in BLOB[1:]]
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "token", "class_id", "n", "plain"))):
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in BLOB)):
                 if now is not None and bucket != now:
                     yield close(parts)
-                    parts = [[], [], [], []]
+                    parts = [[] for _ in BLOB[1:]]
                 now = bucket
                 for p, b in zip(parts, blobs):
                     p.append(b)
         if now is not None:
             yield close(parts)
 
-    blobs = docs.select("text").mapInArrow(deal, "bucket long, token binary, class_id binary, n binary, plain binary")
+    blobs = docs.select("text").mapInArrow(deal, "bucket long, token binary, class_id binary, n binary, plain binary, times binary")
     dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "class_id long, token long, df long, n long, plain long")
 

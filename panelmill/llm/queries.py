@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm import chat_format, decontamination, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, secret_scan, sharding
+from panelmill.llm._common import tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
