@@ -7,6 +7,9 @@ between such partitions and packed again, until no partition has a gap that a ro
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -30,27 +33,86 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
+        encode = ChunkEncoder(tokenizer)
+        end = int(eos).to_bytes(4, "little")
         for batch in slices(batches, most=1_000_000):
             out: list[list] = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, enc in zip(batch.column("doc_id").to_pylist(), tok.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array([*enc.ids, eos], dtype="<u4")
-                cut = len(ids) % capacity or capacity
-                at = [0, *range(cut, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
+                ids += end
+                n = len(ids) // 4
+                at = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for piece, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    for col, x in zip(out, (doc, piece, a, b - a, ids[a:b].tobytes())):
+                    for col, x in zip(out, (doc, piece, a, b - a, ids[4 * a : 4 * b])):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+class ChunkEncoder:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer.
+
+    Its pre-tokenizer always parts a text between a non-space and a space, so a text whose blanks are single is the
+    sum of its blank-led chunks, and chunks repeat: the ids of at most twice ``most`` recent ones are kept. Other
+    texts, and ones that name an added token, are encoded whole.
+    """
+
+    _UNSAFE = re.compile(r"\s ")
+
+    def __init__(self, tokenizer: str, most: int = 300_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok, self.most, self.known, self.old = Tokenizer.from_file(tokenizer), most, {}, {}
+        vocabulary = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # a byte-level vocabulary's blank
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = [array("I", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = []
+        for c in chunks:
+            if c not in self.known:
+                if c in self.old:
+                    self.known[c] = self.old[c]
+                else:
+                    new.append(c)
+        groups, odd = [[]], []
+        for c in new:
+            if not c or c[-1].isspace():
+                odd.append(c)
+            else:
+                if len(groups[-1]) == 500:
+                    groups.append([])
+                groups[-1].append(c)
+        for group, enc in zip(groups, self.tok.encode_batch_fast(["".join(" " + c for c in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(enc.ids, "<u4")
+            first = np.flatnonzero(self.leads[ids])  # a chunk has one blank, at its start
+            if len(first) != len(group):
+                odd += group
+                continue
+            raw, at = ids.tobytes(), (4 * first).tolist()
+            self.known.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        self.known.update(zip(odd, self._whole([" " + c for c in odd])))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        parts = [None if self._UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
+        self._learn({c for p in parts if p for c in p[1:]})
+        heads = self._whole([p[0] if p else t for p, t in zip(parts, texts)])
+        return [h + b"".join(map(self.known.__getitem__, p[1:])) if p else h for h, p in zip(heads, parts)]
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item: longest first, into the fullest bin with room for it."""
     order = np.argsort(-lengths, kind="stable")
