@@ -67,4 +67,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op10_line_dedup)}
-ORACLES: dict[str, str] = {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from panelmill.llm.queries import ORACLES, QUERIES
+from panelmill.llm.oracles import ORACLES
+from panelmill.llm.queries import QUERIES
 
 
 def queries() -> dict:
