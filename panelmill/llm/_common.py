@@ -55,9 +55,9 @@ def remove(df: DataFrame) -> None:
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a count proves it small; without one (a shuffled join) beyond that.
 
-    Call it on materialized tables only, as the count reads the table.
+    Call it on materialized tables only: there a count reads file footers, and no task gathers rows for it.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(text: Column | str) -> Column:

@@ -99,8 +99,8 @@ def test_quality_edges(spark, docs, no_docs, clashing):
             assert kept.schema == df.schema and kept.count() <= df.count()
 
 
-def test_gradients():
-    """The fit's gradient against differences, by one plain step's direction."""
+def test_fit_learns_bags():
+    """The fit separates four random bags; without epochs it does not."""
     rng = np.random.default_rng(0)
     x, pieces, y = rng.normal(size=(12, Q.WIDTH)).astype(np.float32), np.array([3, 1, 5, 3]), np.array([1.0, 0, 1, 0])
     loss = lambda m: -np.mean(y * np.log(m.forward(m.standard(x), pieces)["score"]) + (1 - y) * np.log(1 - m.forward(m.standard(x), pieces)["score"]))
