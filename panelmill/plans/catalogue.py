@@ -512,7 +512,7 @@ def naive_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {P}, a as (select k, month, amt, lag(amt) over w as p1, avg(amt) over (partition by k order by month rows between 3 preceding and 1 preceding) as p2 from p window w as (partition by k order by month)),
   u as (select k, month, p1 as prediction from a where p1 is not null union all select k, month, p2 from a where p2 is not null)
-  select k, month, round(greatest(avg(prediction), 0), 6) as prediction, case when month between date '2001-03-01' and date '2001-05-01' then 1.8 else 1.0 end as weight from u group by k, month""")
+  select k, month, round(greatest(avg(prediction), 0), 6) as prediction, cast(case when month between date '2001-03-01' and date '2001-05-01' then 1.8 else 1.0 end as double) as weight from u group by k, month""")
 def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = win.series("k")
     p = supplier_panel(spark, sf_dir)
