@@ -8,6 +8,7 @@ between such partitions and packed again, until no partition has a gap that a ro
 from __future__ import annotations
 
 import re
+import string
 import sys
 from array import array
 from bisect import bisect_left
@@ -52,7 +53,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer.
 
-    Its pre-tokenizer always parts a text between a non-space and a space, so a text whose blanks are single is the
+    The library's pre-tokenizer always parts a text between a non-space and a space, so a text whose blanks are single is the
     sum of its blank-led chunks, and chunks repeat: the ids of at most twice ``most`` recent ones are kept. Other
     texts, and ones that name an added token, are encoded whole.
     """
@@ -63,9 +64,13 @@ class ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.most, self.known, self.old = Tokenizer.from_file(tokenizer), most, {}, {}
+        # chunks of letters alone are one pre-token each: the same model without the pattern, and without a second cache
+        self.plain = Tokenizer.from_file(tokenizer)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.model._resize_cache(0)
+        self.tok, self.most, self.known, self.old, self.marks = Tokenizer.from_file(tokenizer), most, {}, {}, {}
         vocabulary = self.tok.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # a byte-level vocabulary's blank
@@ -79,29 +84,47 @@ class ChunkEncoder:
         return [ids.tobytes() for ids in out]
 
     def _learn(self, chunks: set[str]) -> None:
-        new = []
+        """Make all ``chunks`` known. Marks at the end of a word are tokens of their own: they and the word are learned apart."""
+        new, joined, known, old = {}, [], self.known, self.old
         for c in chunks:
-            if c not in self.known:
-                if c in self.old:
-                    self.known[c] = self.old[c]
+            if c in known:
+                continue
+            if c in old:
+                known[c] = old[c]
+                continue
+            body = c.rstrip(string.punctuation)
+            if not body or len(body) == len(c) or not body[-1].isalnum():
+                new[c] = None
+                continue
+            joined.append((c, body, c[len(body) :]))
+            if body not in known:
+                if body in old:
+                    known[body] = old[body]
                 else:
-                    new.append(c)
-        groups, odd = [[]], []
+                    new[body] = None
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        if lost := [m for m in {m for _, _, m in joined} if m not in self.marks]:
+            self.marks.update(zip(lost, self._whole(lost)))
+        self._encode(list(new))
+        for c, body, mark in joined:
+            known[c] = known[body] + self.marks[mark]
+
+    def _encode(self, new: list[str]) -> None:
+        plain, rest = [], []
         for c in new:
-            if not c or c[-1].isspace():
-                odd.append(c)
-            else:
-                if len(groups[-1]) == 500:
-                    groups.append([])
-                groups[-1].append(c)
-        for group, enc in zip(groups, self.tok.encode_batch_fast(["".join(" " + c for c in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(enc.ids, "<u4")
-            first = np.flatnonzero(self.leads[ids])  # a chunk has one blank, at its start
-            if len(first) != len(group):
-                odd += group
-                continue
-            raw, at = ids.tobytes(), (4 * first).tolist()
-            self.known.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+            (plain if c.isalpha() else rest).append(c)
+        odd = []
+        for tok, chunks in ((self.plain, plain), (self.tok, rest)):
+            groups = [chunks[i : i + 500] for i in range(0, len(chunks), 500)]
+            for group, enc in zip(groups, tok.encode_batch_fast(["".join(" " + c for c in g) for g in groups], add_special_tokens=False)):
+                ids = np.array(enc.ids, "<u4")
+                first = np.flatnonzero(self.leads[ids])  # a chunk has one blank, at its start
+                if len(first) != len(group):  # chunks that are empty or end in white space run into the next
+                    odd += group
+                    continue
+                raw, at = ids.tobytes(), (4 * first).tolist()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
         self.known.update(zip(odd, self._whole([" " + c for c in odd])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
