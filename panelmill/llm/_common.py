@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: A side is broadcast only when it was counted and has at most this many narrow rows (about 16 bytes each).
+#: A side is broadcast only when it was counted and holds at most this many narrow rows or array values (some 16 bytes each).
 BROADCAST_ROWS = 200_000
 
 
@@ -52,12 +52,14 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint when a count proves it small; without one (a shuffled join) beyond that.
 
-    Call it on materialized tables only: there a count reads file footers, and no task gathers rows for it.
+    ``values``: how many values a row's arrays hold; they count like rows. Call it on materialized tables only: there
+    a count reads file footers or one column, and no task gathers rows for it.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    n = df.count() if values is None else df.agg(F.coalesce(F.sum(values + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def ascii_lower(text: Column | str) -> Column:

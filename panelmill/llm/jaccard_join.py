@@ -294,11 +294,15 @@ def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """(class_id, root, links) from rows (job, i, j, side, class_id, times, set, rare) sorted by job and block pair."""
+    """(class_id, root, links) from rows (job, i, j, side, class_id, times, set, rare) sorted by job and block pair.
+
+    A class's set and its prefix come in rows of their own; repeats of either change nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list[tuple]) -> pa.RecordBatch | None:
-            rows = list({r[1]: r for r in rows}.values())
+        def close(parts: list[tuple]) -> pa.RecordBatch | None:
+            prefix = {r[1]: r[4] for r in parts if r[4] is not None}
+            rows = [(*r[:4], prefix[r[1]]) for r in {r[1]: r for r in parts if r[3] is not None}.values()]
             if len(rows) < 2:
                 return None
             side, ids, times = (np.array([r[c] for r in rows], np.int64) for c in range(3))
@@ -358,9 +362,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     blocks = inside.groupBy("job").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
     jobs = materialize(inside.join(blocks, "job").withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "jobs")
 
-    sets = _fetch_sets(docs, width).join(sized(jobs.select("class_id", "least", "job", "blocks", "side", "times", "rare"), 50_000), "class_id").where(F.col("doc_id").eqNullSafe(F.col("least"))).drop("doc_id", "least")
+    # texts that stand for a class in some group, then their sets; a prefix goes to its blocks without passing a broadcast
+    stand = docs.select("doc_id", "text").alias("d").join(sized(jobs.select("least")).alias("l"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("l.least")), "left_semi")
+    place = ["job", "blocks", "side", "class_id", "times"]
+    sets = _fetch_sets(stand, width).join(sized(jobs.select("least", *place)), "class_id").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    parts = sets.select(*place, "set", F.lit(None).cast("array<long>").alias("rare")).unionByName(jobs.select(*place, F.lit(None).cast("binary").alias("set"), "rare"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = sets.select("*", other.alias("other")).select("job", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class_id", "times", "set", "rare")
+    dealt = parts.select("*", other.alias("other")).select("job", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class_id", "times", "set", "rare")
     found = materialize(_verify(dealt.repartition("job", "i", "j").sortWithinPartitions("job", "i", "j"), percent), "links")
 
     roots = connected_components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
