@@ -74,20 +74,20 @@ def proximity_matches(index: DataFrame, items: DataFrame, slack: int = 26, windo
     """(doc_id, text_key, item): documents in which the rarest terms of some window stand within ``slack`` words of it, in any order."""
     looked = _anchored(items, index, window, anchors)
     near = _looked_up(index, looked).select("doc_id", "text_key", "item", "ipos", F.explode(F.array(F.floor(F.col("diag") / slack) * 2, F.floor((F.col("diag") + slack // 2) / slack) * 2 + 1)).alias("cell"))
-    found = near.groupBy("doc_id", "text_key", "item", "cell").agg(F.collect_set("ipos").alias("hits")).join(sized(materialize(looked.select("item", "looks"), "looks")), "item")
+    found = near.groupBy("doc_id", "text_key", "item", "cell").agg(F.collect_set("ipos").alias("hits")).join(sized(materialize(looked.select("item", "looks"), "looks"), values=F.size(F.flatten("looks"))), "item")
     return found.where(_all_found("hits")).select("doc_id", "text_key", "item").distinct()
 
 
 def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
     """(doc_id, text_key, item, item_ids, hits): hits are the document's word places inside an occurring window of the item."""
     looked = materialize(_anchored(items, index, window, anchors), "items")
-    small = sized(looked, 20_000)
+    small = sized(looked, values=F.size("words"))
     lines = _looked_up(index, looked).groupBy("doc_id", "text_key", "item", "diag").agg(F.collect_set("ipos").alias("spots"))
     maybe = lines.join(small.select("item", "looks"), "item").where(_all_found("spots"))
     by_doc = materialize(maybe.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "diag")).alias("lines")), "candidates")
     same = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_key") == F.col("c.text_key")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text")).alias("d")
-    both = texts.join(sized(by_doc, 50_000).alias("c"), same).select("d.doc_id", "d.text_key", words("d.text").alias("words"), "lines")
+    both = texts.join(sized(by_doc, values=F.size("lines")).alias("c"), same).select("d.doc_id", "d.text_key", words("d.text").alias("words"), "lines")
     # only the stretch of the document that the item would cover goes on
     longest = looked.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
     stretch = F.transform("lines", lambda x: F.struct(x["item"].alias("item"), x["diag"].alias("diag"), F.slice("words", F.greatest(x["diag"], F.lit(0)) + 1, F.lit(longest)).alias("part")))
@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hit = materialize(hit, "hits")
     rows = index.where(F.col("term") == closing()).select("doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
     same = [F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("r.text_key") == F.col("h.text_key")]
-    out = rows.alias("r").join(sized(hit, 50_000).alias("h"), same, "left")
+    out = rows.alias("r").join(sized(hit, values=F.size("ids")).alias("h"), same, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(

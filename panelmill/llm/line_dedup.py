@@ -51,7 +51,7 @@ def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     cover = materialize(covered_lines(docs, window), "cover")
     same = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_key") == F.col("c.text_key")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), _lines().alias("lines")).alias("d").join(sized(cover, 50_000).alias("c"), same, "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), _lines().alias("lines")).alias("d").join(sized(cover, values=F.size("later") + F.size("first")).alias("c"), same, "left")
     spread = lambda col: F.array_distinct(F.flatten(F.transform(col, lambda p: F.sequence(p, p + window - 1))))
     gone = F.array_except(spread("later"), spread("first"))
     rows = rows.select("d.doc_id", "lines", F.when(F.col("later").isNull(), F.array().cast("array<int>")).otherwise(gone).alias("gone"))
