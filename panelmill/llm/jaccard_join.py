@@ -209,7 +209,8 @@ def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, wi
             yield close(parts)
 
     blobs = docs.select("text").mapInArrow(deal, "bucket long, token binary, class_id binary, n binary, plain binary, times binary")
-    dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a bucket is a partition of its own: hashed, several large ones would meet in one task
+    dealt = blobs.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "class_id long, token long, df long, n long, plain long")
 
 
