@@ -20,12 +20,21 @@ from panelmill.llm._common import slices
 #: Exact phrases, word by word, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Notices that are searched with errors: label, text.
+#: Notices that are searched with errors: label, text. The exact phrases are among them, and their common framings.
 NOTICES = (
+    ("mit", "mit license"),
+    ("apache-2", "apache license version 2"),
+    ("cc-by-nc", "cc by nc"),
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
+    ("mit", "distributed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "released under the apache license version 2 0"),
+    ("apache-2", "distributed under the apache license version 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "released under cc by nc 4 0"),
+    ("cc-by-nc", "distributed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial"),
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("gpl", "gnu general public license"),
@@ -38,6 +47,8 @@ NOTICES = (
     ("proprietary", "all rights reserved"),
 )
 LETTERS_PER_EDIT = 12
+#: Words of other licenses, within the edits of a label's notices: a place with errors that holds them isn't the label's.
+OTHERS = {"mit": ("mpl", "sil"), "apache-2": ("version 1",), "cc-by-nc": ("cc by nd",)}
 
 #: Bytes of words stay (A-Z lower-cased); every other ASCII byte becomes a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -110,6 +121,8 @@ class Scanner:
                     body = m[0].strip(" ")
                     first = line.count(" ", 0, m.start() + len(m[0]) - len(m[0].lstrip(" "))) - 1
                     edits = sum(m.fuzzy_counts)
+                    if any(f" {other} " in f" {body} " for other in OTHERS.get(label, ())):
+                        continue
                     out.append((label, first, first + body.count(" ") + 1, edits, max(0.0, 1 - edits / len(notice))))
         return out
 
@@ -140,7 +153,7 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 near = scanner.fuzzy(line.decode("utf-8", "surrogatepass"))
                 own = sorted({x[0] for x in base})
                 starts = [x[1] for x in base]
-                spans = [(*x, 0) for x in base] + [x[:4] for x in near]
+                spans = list(dict.fromkeys([(*x, 0) for x in base] + [x[:4] for x in near]))
                 score = 1.0 if base else max((x[4] for x in near), default=0.0)
                 rows.append((doc, len(words), len(base), min(starts, default=None), max(starts, default=None), own, sorted({*own, *(x[0] for x in near)}), score, [dict(zip(("label", "first_word", "end_word", "edits"), s)) for s in spans]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

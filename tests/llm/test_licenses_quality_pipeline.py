@@ -72,6 +72,20 @@ def test_notices_with_errors_are_found():
     assert not scanner.fuzzy(" nothing of the kind is written here at all ")
 
 
+def test_short_notices_with_errors_are_found_without_a_sentence():
+    """Every one-edit form of each exact phrase; other licenses within an edit keep their own."""
+    scanner = S.Scanner()
+    labels = lambda text: {f[0] for f in scanner.fuzzy(f" before it {text} and after ")}
+    for phrase, label in S.PHRASES:
+        for i in range(1, len(phrase) - 1):
+            for new in ("", "q", phrase[i] + "q"):
+                assert label in labels(phrase[:i] + new + phrase[i + 1 :])
+    for text, label in (("the mit licence", "mit"), ("licensed under the mit licence", "mit"), ("apache license verison 2 0", "apache-2"), ("distributed under the apache lisence version 2 0", "apache-2"), ("cc by mc 4 0", "cc-by-nc")):
+        assert labels(text) == {label}
+    for text in ("cc by nd 4 0", "cc by sa 4 0", "licensed under cc by nd 4 0", "apache license version 1 1", "licensed under the mpl license", "bsd license"):
+        assert not labels(text)
+
+
 # quality
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1
