@@ -248,16 +248,17 @@ def _products(row: np.ndarray, column: np.ndarray, count: np.ndarray, k: int, wi
     return out
 
 
-def verify_block(sets: list[np.ndarray], rare: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+def verify_block(sets: list[np.ndarray], rare: list[np.ndarray], side: np.ndarray, percent: int, cross: bool | None = None) -> np.ndarray:
     """Link matrix of a block: filters under all three orders, then verification on the whole sets.
 
-    Pairs with equal ``side`` count only where the block has a single side.
+    In a ``cross`` block (of two sides, either of which may be empty) pairs with equal ``side`` don't count; without
+    the word a block is one of those if it holds several sides.
     """
     k = len(sets)
     size = np.array([len(s) for s in sets])
     due = prefix_length(size, percent)
     ok = np.triu(np.ones((k, k), bool), 1)
-    if len(np.unique(side)) > 1:
+    if cross or (cross is None and len(np.unique(side)) > 1):
         ok &= side[:, None] != side[None, :]
     ok &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
     if not ok.any():
@@ -301,13 +302,13 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[tuple]) -> pa.RecordBatch | None:
+        def close(parts: list[tuple], cross: bool) -> pa.RecordBatch | None:
             prefix = {r[1]: r[4] for r in parts if r[4] is not None}
             rows = [(*r[:4], prefix[r[1]]) for r in {r[1]: r for r in parts if r[3] is not None}.values()]
             if len(rows) < 2:
                 return None
             side, ids, times = (np.array([r[c] for r in rows], np.int64) for c in range(3))
-            links = verify_block([np.frombuffer(r[3], np.uint64) for r in rows], [np.array(r[4], np.int64) for r in rows], side, percent)
+            links = verify_block([np.frombuffer(r[3], np.uint64) for r in rows], [np.array(r[4], np.int64) for r in rows], side, percent, cross)
             number = links @ times + times @ links
             hit = np.flatnonzero(number)
             return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(_roots(links, ids)[hit]), pa.array(number[hit].astype(np.int64))], names=["class_id", "root", "links"])
@@ -316,12 +317,12 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for job, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("job", "i", "j", "side", "class_id", "times", "set", "rare"))):
                 if now is not None and now != (job, i, j):
-                    if (out := close(rows)) is not None:
+                    if (out := close(rows, now[1] != now[2])) is not None:
                         yield out
                     rows = []
                 now = job, i, j
                 rows.append(tuple(rest))
-        if now is not None and (out := close(rows)) is not None:
+        if now is not None and (out := close(rows, now[1] != now[2])) is not None:
             yield out
 
     return rows.mapInArrow(run, "class_id long, root long, links long")

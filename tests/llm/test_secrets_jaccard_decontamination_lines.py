@@ -114,6 +114,17 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert got == jaccard_expected(rows)
 
 
+def test_links_count_once_where_a_side_is_empty(spark, monkeypatch):
+    """Groups of two or three sets in two or more blocks by their tokens."""
+    rows = []
+    for g in range(16):
+        w = [f"g{g}w{i}" for i in range(120)]
+        rows += [(10 * g + k, " ".join([*w[: 118 - k], f"end{k}"])) for k in range(2 + g % 2)]
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 150)
+    got = Counter(pairs(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), *JOINED))
+    assert got == jaccard_expected(rows) and {k[3] for k in got} == {1, 2}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=24))
 def test_blocks_miss_no_link(lists):
