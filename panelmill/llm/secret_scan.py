@@ -21,6 +21,10 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}+", 0, 32),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Parts of a run that fits no encoding: long ones between all of /+-_, else shorter ones joined by -_ only or by /+ only.
+_SHORT = "[A-Za-z0-9]{1,19}+(?![A-Za-z0-9])"
+PARTS = rf"[A-Za-z0-9]{{20,}}+|(?=[A-Za-z0-9_-]{{20}})(?:{_SHORT}|[_-])++|(?=[A-Za-z0-9+/]{{20}})(?:{_SHORT}|[+/])++"
+LEAST = 20
 DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encoding, pattern of its tokens (without padding), alphabet; the first that fits holds. A token needs a digit and a letter.
 ENCODINGS = (
@@ -97,8 +101,19 @@ def _alphabet(token: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """(start, end, stratum, bin) of long tokens with an encoding; bin: of the p-value, on a logarithmic scale."""
-    found = F.transform(_located(text, TOKEN, 0), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.rtrim(F.replace(s["body"], F.lit("="), F.lit(" "))).alias("token")))
+    """(start, end, stratum, bin) of long tokens with an encoding; bin: of the p-value, on a logarithmic scale.
+
+    A run with / or + beside - or _ fits none; its parts (see ``PARTS``) of ``LEAST`` characters or more are tokens.
+    """
+    runs = F.transform(_located(text, TOKEN, 0), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.rtrim(F.replace(s["body"], F.lit("="), F.lit(" "))).alias("token")))
+
+    def split(s: Column) -> Column:
+        inner = F.filter(_located(s["token"], PARTS, 0), lambda p: p["end"] - p["start"] >= LEAST)
+        size = F.length(s["token"])  # padding stays with the last part
+        parts = F.transform(inner, lambda p: F.struct((s["start"] + p["start"]).alias("start"), F.when(p["end"] == size, s["end"]).otherwise(s["start"] + p["end"]).alias("end"), p["body"].alias("token")))
+        return F.when(s["token"].rlike("[+/]") & s["token"].rlike("[_-]"), parts).otherwise(F.array(s))
+
+    found = F.flatten(F.transform(runs, split))
     coded = F.filter(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), _alphabet(s["token"]).alias("alphabet"))), lambda s: s["alphabet"].isNotNull())
 
     def tested(s: Column) -> Column:

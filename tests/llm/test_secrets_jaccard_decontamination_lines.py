@@ -286,6 +286,31 @@ def test_random_tokens_are_told_from_plain_ones(spark):
     assert len(found & set(range(60))) >= 55 and not found - set(range(60))
 
 
+def test_random_tokens_in_paths(spark):
+    """Runs that fit no encoding are tested part by part, each with its own place."""
+    rng = random.Random(12)
+    made = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))
+    plain, url = S.DIGITS + S.LARGE + S.SMALL, S.DIGITS + S.LARGE + S.SMALL + "-_"
+    frames = ("https://x.com/reset-password/{}", "my_app/keys/{}/end", "𝔘 a+b_c/{}-tail/x", "my-app/keys/a_long_plain_name_here/{}==")
+    rows, want = [], {}
+    for i in range(60):
+        letters = plain if i % 4 < 3 else url
+        t = made(letters)
+        while not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or (letters is url and re.search("[A-Za-z0-9]{20}", t)):
+            t = made(letters)
+        text = f"see {frames[i % 4].format(t)} there"
+        start = text.index(t)
+        rows.append((i, text))
+        want[i] = (start, 3, start + len(t) + 2 * (i % 4 == 3))
+    rows += [(100 + i, f"see my_app/path-{'abcdefghij' * 4}{i}/x-{'A1b2' * 8} there") for i in range(30)]
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in range(4):
+        assert sum(want[i] in got[i] for i in range(kind, 60, 4)) >= 12
+    assert not any(got[i] for i in got if i >= 100)
+    long = spark.createDataFrame([(1, "a-" * 30_000 + "b" * 20 + "/" + "c_d" * 30_000)], "doc_id long, text string")
+    assert S.scan_secrets(long).first().found == []
+
+
 @pytest.mark.parametrize("z,p", [(0, 0.5), (1.96, 0.0249979), (-1, 0.8413447), (3, 0.0013499)])
 def test_tail(spark, z, p):
     assert abs(spark.range(1).select(S._upper_tail(F.lit(float(z)))).first()[0] - p) < 1e-6
