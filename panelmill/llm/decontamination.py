@@ -70,12 +70,25 @@ def _all_found(hits: str) -> Column:
     return F.exists("looks", lambda w: F.size(F.array_except(F.transform(w, lambda t: t["ipos"]), F.col(hits))) == 0)
 
 
+def _together(places: str, slack: int) -> Column:
+    """Whether ``places`` (diag, ipos) hold every rarest term of some window, at most ``slack`` apart."""
+    among = lambda t, p: F.exists(places, lambda q: (q["ipos"] == t["ipos"]) & (q["diag"] >= p["diag"]) & (q["diag"] <= p["diag"] + slack))
+    return F.exists("looks", lambda w: F.exists(places, lambda p: F.forall(w, lambda t: among(t, p))))
+
+
 def proximity_matches(index: DataFrame, items: DataFrame, slack: int = 26, window: int = WINDOW, anchors: int = 3) -> DataFrame:
-    """(doc_id, text_key, item): documents in which the rarest terms of some window stand within ``slack`` words of it, in any order."""
-    looked = _anchored(items, index, window, anchors)
-    near = _looked_up(index, looked).select("doc_id", "text_key", "item", "ipos", F.explode(F.array(F.floor(F.col("diag") / slack) * 2, F.floor((F.col("diag") + slack // 2) / slack) * 2 + 1)).alias("cell"))
-    found = near.groupBy("doc_id", "text_key", "item", "cell").agg(F.collect_set("ipos").alias("hits")).join(sized(materialize(looked.select("item", "looks"), "looks"), values=F.size(F.flatten("looks"))), "item")
-    return found.where(_all_found("hits")).select("doc_id", "text_key", "item").distinct()
+    """(doc_id, text_key, item): documents that hold the rarest terms of some window near each other, in any order.
+
+    A posting's offset is its place in the document less the term's place in the item. The offsets of the window's
+    rarest terms must lie at most ``slack`` apart, so every verbatim window matches too. Two grids of cells twice as
+    wide, one shifted by ``slack``, put any such offsets into a common cell; there the distance itself is compared.
+    """
+    looked = materialize(_anchored(items, index, window, anchors), "near-items")
+    cells = F.array(F.floor(F.col("diag") / (2 * slack)) * 2, F.floor((F.col("diag") + slack) / (2 * slack)) * 2 + 1)
+    near = _looked_up(index, looked).select("doc_id", "text_key", "item", F.struct("diag", "ipos").alias("place"), F.explode(cells).alias("cell"))
+    found = near.groupBy("doc_id", "text_key", "item", "cell").agg(F.collect_set("place").alias("places")).withColumn("hits", F.col("places.ipos"))
+    found = found.join(sized(materialize(looked.select("item", "looks"), "looks"), values=F.size(F.flatten("looks"))), "item")
+    return found.where(_all_found("hits")).where(_together("places", slack)).select("doc_id", "text_key", "item").distinct()
 
 
 def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -101,13 +114,15 @@ def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window:
     return rows.withColumn("starts", starts).where(F.size("starts") > 0).select("doc_id", "text_key", "item", "item_ids", hits.alias("hits"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, near: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_key (a hash of the text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words: runs of anything but ASCII non-alphanumerics, A-Z lower-cased. A word is hit inside any occurrence of a
     window: ``window`` consecutive item words, or all of a shorter item. Contaminated: n_hit > 0 and
     share * n_hit >= n_words. Null and empty texts have no words, on either side. Rows that agree in id and text
     share their result; other columns are ignored; empty tables give an empty result or one without hits.
+    ``near`` adds n_near and near_sha256: the items of proximity matches, the exact ones among them, counted and
+    digested as those of n_items are.
     """
     items = materialize(benchmark_items(benchmark), "benchmark")
     vocabulary = materialize(items.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct(), "vocabulary")
@@ -120,6 +135,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     out = rows.alias("r").join(sized(hit, values=F.size("ids")).alias("h"), same, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
+    more = []
+    if near:
+        ids_of = items.select("item", "item_ids")
+        close = proximity_matches(index, items, window=window).join(sized(ids_of, values=F.size("item_ids")), "item")
+        close = close.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("near_ids"))
+        again = [F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("r.text_key") == F.col("p.text_key")]
+        out = out.join(sized(materialize(close, "near"), values=F.size("near_ids")).alias("p"), again, "left")
+        near_ids = F.coalesce("near_ids", F.array().cast("array<string>"))
+        more = [F.size(near_ids).cast("long").alias("n_near"), F.sha2(F.array_join(near_ids, ","), 256).alias("near_sha256")]
     return out.select(
         "r.doc_id",
         "r.text_key",
@@ -128,4 +152,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *more,
     )

@@ -61,9 +61,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op9_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True).drop("text_key")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op9_decontamination_near, op10_line_dedup)}

@@ -197,6 +197,56 @@ def test_proximity(spark):
     assert {r.doc_id for r in X.proximity_matches(index, items).collect()} == {1, 2}
 
 
+def near_expected(docs, items, slack=26, window=13, anchors=3):
+    """(doc_id, text) of the documents in which some window's rarest words have offsets at most ``slack`` apart, and the items."""
+    words = lambda t: WORD.findall((t or "").translate(LOW))
+    cf = Counter(w for _, t in docs for w in words(t))
+    out = defaultdict(set)
+    for d, t in docs:
+        at = defaultdict(list)
+        for i, w in enumerate(words(t)):
+            at[w].append(i)
+        for item, text in items:
+            want = words(text)
+            width = min(len(want), window)
+            for s in range(len(want) - width + 1 if want else 0):
+                rare = sorted((cf[w], i, w) for i, w in enumerate(want[s : s + width], s))[:anchors]
+                spots = [[p - i for p in at[w]] for _, i, w in rare] if all(w in at for _, _, w in rare) else []
+                if spots and any(all(any(a <= b <= a + slack for b in ys) for ys in spots) for xs in spots for a in xs):
+                    out[d, t].add(item)
+                    break
+    return out
+
+
+def test_proximity_at_every_offset(spark):
+    item = [f"t{i}" for i in range(13)]
+    rng = random.Random(7)
+    rows = []
+    for o in range(54):
+        moved = [*item[:1], *item[2:], *["x"] * 9, item[1]]
+        apart = [item[0], *["x"] * (25 + o % 4), *item[1:]]
+        mixed = ["x"] * 60
+        for w in item:
+            mixed[rng.randrange(60)] = w
+        rows += [(10 * o + k, " ".join(["y"] * o + body)) for k, body in enumerate((moved, item[::-1], apart, mixed))]
+    bench = [(1, " ".join(item))]
+    items = X.benchmark_items(spark.createDataFrame(bench, "item_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = X.build_index(docs, items.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct())
+    want = {d for d, _ in near_expected(rows, bench)}
+    assert {r.doc_id for r in X.proximity_matches(index, items).collect()} == want
+    assert {10 * o + k for o in range(54) for k in (0, 1)} <= want and any(10 * o + 2 not in want for o in range(54))
+
+
+def test_op9_near_whole(spark, sf_dir):
+    docs, bench = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    near = near_expected(docs, bench)
+    want = Counter((d, len(n), sha(",".join(sorted(map(str, n))))) for d, t in docs for n in [near[d, t]])
+    out = QUERIES["op9_decontamination_near"](spark, sf_dir).cache()
+    assert Counter(pairs(out, "doc_id", "n_near", "near_sha256")) == want
+    assert Counter(pairs(out, *HITS)) == contamination_expected(docs, bench)
+
+
 # line dedup
 def lines_expected(docs, window=3):
     order = sorted({(d is None, d or 0, t or "") for d, t in docs})
