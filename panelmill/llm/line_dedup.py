@@ -2,7 +2,9 @@
 
 Every window of three consecutive lines is hashed; windows that occur twice or more are found globally, with the first
 place of each. Later occurrences cover their lines, covers of a document are merged, and covered lines go, except
-those inside the first occurrence of a repeated window: so every repeated window stays whole in one place.
+those inside the first occurrence of a repeated window: so every repeated window stays whole in one place. Windows
+across the border of a shared passage may be such first occurrences, so that covered lines stay at its borders;
+``whole`` protects a first occurrence only against later ones of the same window that overlap it.
 """
 
 from __future__ import annotations
@@ -31,25 +33,32 @@ def line_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("doc_id", "text_key", F.inline(keys))
 
 
-def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, later, first): places of later occurrences and of first ones of repeated windows, per document."""
+def covered_lines(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """(doc_id, text_key, later, first): places of later occurrences and of first ones of repeated windows, per document.
+
+    ``whole``: of first ones only those that a later occurrence of the same window overlaps.
+    """
     windows = materialize(line_windows(docs, window), "windows")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "text_key", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     repeated = materialize(repeated.drop("n"), "repeated")
-    marked = windows.join(sized(repeated, 100_000), ["h1", "h2"]).select("doc_id", "text_key", "pos", (place == F.col("first")).alias("is_first"))
+    marked = windows.join(sized(repeated, 100_000), ["h1", "h2"]).select("doc_id", "text_key", "pos", (place == F.col("first")).alias("is_first"), "first")
+    if whole:
+        overlaps = (place["d"] == F.col("first.d")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") - F.col("first.pos") < window)
+        own = F.collect_set(F.when(~F.col("is_first") & overlaps, F.col("first.pos"))).alias("first")
+        return marked.groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~F.col("is_first"), F.col("pos"))).alias("later"), own).where(F.size("later") > 0)
     return marked.groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~F.col("is_first"), F.col("pos"))).alias("later"), F.collect_set(F.when(F.col("is_first"), F.col("pos"))).alias("first")).where(F.size("later") > 0)
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, clean_text.
 
     Lines part at \\n and are compared as they are. Occurrences are ordered by doc_id (null last), then by a hash of the
     text, then by line; rows that agree in id and text count as one document and share their result. Null text counts
     as empty (one line); texts with fewer lines than a window stay as they are. Other columns are ignored; an empty
-    table gives an empty one.
+    table gives an empty one. ``whole`` removes the covered lines at the borders of shared passages too (see above).
     """
-    cover = materialize(covered_lines(docs, window), "cover")
+    cover = materialize(covered_lines(docs, window, whole), "cover")
     same = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_key") == F.col("c.text_key")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), _lines().alias("lines")).alias("d").join(sized(cover, values=F.size("later") + F.size("first")).alias("c"), same, "left")
     spread = lambda col: F.array_distinct(F.flatten(F.transform(col, lambda p: F.sequence(p, p + window - 1))))

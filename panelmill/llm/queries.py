@@ -70,4 +70,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op9_decontamination_near, op10_line_dedup)}
+def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op9_decontamination_near, op10_line_dedup, op10_line_dedup_whole)}

@@ -288,6 +288,33 @@ def test_line_edges(spark, docs, no_docs, clashing):
     assert L.line_dedup(no_docs).count() == 0
 
 
+def whole_expected(docs, window=3):
+    """Every line that a later occurrence covers goes, but for the first occurrence of a window that overlaps itself."""
+    at, gone, own = defaultdict(list), defaultdict(set), defaultdict(set)
+    for key in sorted({(d is None, d or 0, t or "") for d, t in docs}):
+        lines = key[2].split("\n")
+        for i in range(len(lines) - window + 1):
+            at[tuple(lines[i : i + window])].append((key, i))
+    for (k0, i0), *more in at.values():
+        for key, i in more:
+            gone[key] |= set(range(i, i + window))
+            own[k0] |= set(range(i0, i0 + window)) if key == k0 and i - i0 < window else set()
+    out = Counter()
+    for d, t in docs:
+        key = (d is None, d or 0, t or "")
+        lines, drop = key[2].split("\n"), gone[key] - own[key]
+        out[d, len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)] += 1
+    return out
+
+
+def test_whole_passages_go(spark, sf_dir):
+    rows = [(1, "a\nb\nc\nz"), (2, "p\nq\na\nb\nc\nr\ns"), (3, "p\nq\na\nb\nc\nr\ns"), (4, "k\nk\nk\nk\nk")]
+    got = {r.doc_id: r.clean_text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert got == {1: "a\nb\nc\nz", 2: "p\nq\nr\ns", 3: "", 4: "k\nk\nk"}
+    want = Counter((*k[:3], sha(k[3])) for k in whole_expected(read(spark, sf_dir, "documents", "doc_id", "text")).elements())
+    assert Counter(pairs(QUERIES["op10_line_dedup_whole"](spark, sf_dir), "doc_id", "n_lines", "n_removed", "clean_sha256")) == want
+
+
 # secrets
 PATTERNS = (
     ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[1]) >= 8),
