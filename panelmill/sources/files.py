@@ -1,4 +1,4 @@
-"""Sources and sinks: typed text scans, Parquet, CSV, JSON, appending logs, integrity manifests, model artefacts."""
+"""Sources and sinks: typed text scans, Parquet, CSV, JSON, appending logs, integrity manifests."""
 
 from __future__ import annotations
 
