@@ -8,6 +8,7 @@ their labels always stay.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -103,27 +104,27 @@ class Scanner:
     def fuzzy(self, line: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, end word, edits, likeness) of the notices near a seed."""
         automaton, patterns = self.search
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[tuple[int, int]]] = {}
         for end, (size, found) in automaton.iter(line):
             for i, at, edits in found:
-                start = max(0, end + 1 - size - at - edits)
-                stop = start + len(self.notices[i][1]) + 2 * edits + 1
-                own = windows.setdefault(i, [])
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], stop)
-                else:
-                    own.append([start, stop])
+                starts.setdefault(i, set()).add((max(0, end + 1 - size - at - edits), edits))
         out = []
-        for i, own in windows.items():
+        for i, own in starts.items():
             label, notice = self.notices[i]
-            for a, b in own:
-                for m in patterns[i].finditer(line, a, min(b, len(line))):
-                    body = m[0].strip(" ")
-                    first = line.count(" ", 0, m.start() + len(m[0]) - len(m[0].lstrip(" "))) - 1
-                    edits = sum(m.fuzzy_counts)
-                    if any(f" {other} " in f" {body} " for other in OTHERS.get(label, ())):
-                        continue
-                    out.append((label, first, first + body.count(" ") + 1, edits, max(0.0, 1 - edits / len(notice))))
+            places = set()
+            for a, edits in own:  # each seed's own window, to its last blank: a place of the seed fits in
+                m = patterns[i].search(line, a, line.rfind(" ", a, a + len(notice) + 2 * edits + 1) + 1)
+                if m is None or any(f" {other} " in f" {m[0].strip(' ')} " for other in OTHERS.get(label, ())):
+                    continue
+                body = m[0].strip(" ")
+                first = line.count(" ", 0, m.start() + len(m[0]) - len(m[0].lstrip(" "))) - 1
+                places.add((sum(m.fuzzy_counts), first, first + body.count(" ") + 1))
+            taken: list[tuple[int, int, int]] = []
+            for edits, first, end in sorted(places):  # of overlapping places the one of least edits
+                k = bisect(taken, (first, end, edits))
+                if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= end):
+                    taken.insert(k, (first, end, edits))
+            out += [(label, first, end, edits, max(0.0, 1 - edits / len(notice))) for first, end, edits in taken]
         return out
 
 

@@ -86,6 +86,14 @@ def test_short_notices_with_errors_are_found_without_a_sentence():
         assert not labels(text)
 
 
+def test_notices_back_to_back_are_all_reported():
+    one = " relxased under the mxt license"
+    found = S.Scanner().fuzzy(f"{one} released under the mit license{one} ")
+    assert {(0, 5, 2), (5, 10, 0), (10, 15, 2)} <= {f[1:4] for f in found}
+    many = [f for f in S.Scanner().fuzzy(" mit licence" * 500 + " ") if f[0] == "mit" and f[2] - f[1] == 2]
+    assert sorted({f[1] for f in many}) == list(range(0, 1000, 2))
+
+
 # quality
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1
