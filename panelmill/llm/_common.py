@@ -19,13 +19,21 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
+#: Bits of the filter that keeps rows without a partner out of a shuffle: at most BITS / 64 rows of two longs are broadcast.
+BITS = 1 << 25
+
+#: Keys that hold more than one HOT-th of all rows are joined by broadcast: there are fewer than HOT of them.
+HOT = 2048
+
 _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a folder of our own only where none is named."""
+    """The folder that all executors share, as the cluster names it; one of our own only in local mode where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="panelmill-"))
         path = _OWN_DIR[0]
@@ -41,15 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder once and read it back."""
     path = f"{shared_dir(df.sparkSession)}/panelmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
@@ -62,6 +71,33 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS, values: Column | None = Non
     return F.broadcast(df) if n <= most else df
 
 
+def may_match(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = BITS, without: bool = False) -> DataFrame:
+    """``rows`` whose ``on`` may be among those of ``keys`` (with ``without``: those whose ``on`` surely is not).
+
+    A one-hash Bloom filter of fixed size in built-in functions: words of 64 bits, so that the broadcast never holds
+    more than ``bits`` / 64 rows of two longs. It is the same plan at every size, and rows without a partner, however
+    wide, take no part in the shuffle of the join that follows. Null is a key like any other.
+    """
+    slot, word, held = (n + "_" * max(map(len, rows.columns)) for n in ("slot", "word", "held"))  # longer than any other name
+    place = F.pmod(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in on)), F.lit(bits))
+    words = keys.select(place.alias(slot)).groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias(held))
+    found = rows.withColumn(slot, place).withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.expr(f"getbit({held}, cast({slot} & 63 as int)) = 1"), F.lit(False))
+    return found.where(~hit if without else hit).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def key_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``on`` is unique and whose ``weight`` says how many rows hold the key.
+
+    Keys above one ``HOT``-th of all rows come by broadcast, so that no task gets all rows of one; the others are
+    merged, after a filter of fixed size has kept rows without a partner out of the shuffle.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    often = table.where(F.col(weight) > int(total) // HOT)
+    rest = may_match(rows, table, on).join(F.broadcast(often.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(often), on).unionByName(rest.join(table.hint("merge"), on))
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z only; the quick path serves texts that are all ASCII."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star then small-star in each round, until the edge table no longer changes; rounds grow with the
     logarithm of the longest path. Minima are combined before each shuffle, and every round is written to the
     shared folder, so a lost executor costs at most one round. Null ends and loops are ignored; an empty table
-    gives an empty table.
+    gives an empty table. Raises when ``most_rounds`` don't suffice.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, "cc")
@@ -33,5 +33,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components did not converge in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -42,9 +42,10 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 
 LINES = """with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 w as (select doc_id, i, array_to_string(l[i + 1:i + 3], chr(10)) as g from d cross join unnest(range(0, len(l) - 2)) as t(i)),
-r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as rn, count(*) over (partition by g) as n from w),
-c as (select doc_id, unnest([i, i + 1, i + 2]) as p, rn = 1 as is_first from r where n > 1),
-gone as (select doc_id, list(p) as ps from (select doc_id, p from c group by 1, 2 having not bool_or(is_first)) group by 1)
+r as (select doc_id, i, row_number() over o as rn, first_value(doc_id) over o as d0, first_value(i) over o as i0 from w window o as (partition by g order by doc_id, i)),
+c as (select doc_id, unnest([i, i + 1, i + 2]) as p, 1 as cut from r where rn > 1 union all
+  select d0, unnest([i0, i0 + 1, i0 + 2]), 0 from r where rn > 1 and doc_id = d0 and i - i0 < 3),
+gone as (select doc_id, list(p) as ps from (select doc_id, p from c group by 1, 2 having min(cut) = 1) group by 1)
 select d.doc_id, len(l) as n_lines, coalesce(len(ps), 0) as n_removed, sha256(array_to_string(list_filter(l, lambda x, i: not list_contains(coalesce(ps, []), i - 1)), chr(10))) as clean_sha256 from d left join gone using (doc_id)"""
 
 ORACLES = {"op1_chat_format": CHAT, "op6_jaccard_join": NEAR, "op7_exact_dedup": COPIES, "op9_decontamination": HITS, "op10_line_dedup": LINES}

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelmill.llm import _common
 from panelmill.llm import decontamination as X
 from panelmill.llm import jaccard_join as J
 from panelmill.llm import line_dedup as L
@@ -248,25 +249,22 @@ def test_op9_near_whole(spark, sf_dir):
 
 
 # line dedup
-def lines_expected(docs, window=3):
-    order = sorted({(d is None, d or 0, t or "") for d, t in docs})
-    at = defaultdict(list)
-    for key in order:
+def lines_expected(docs, window=3, guard_all=False):
+    """Every line that a later occurrence covers goes, but for first occurrences of windows that overlap themselves (or for all first ones)."""
+    at, gone, own = defaultdict(list), defaultdict(set), defaultdict(set)
+    for key in sorted({(d is None, d or 0, t or "") for d, t in docs}):
         lines = key[2].split("\n")
         for i in range(len(lines) - window + 1):
             at[tuple(lines[i : i + window])].append((key, i))
-    later, first = defaultdict(set), defaultdict(set)
-    for places in at.values():
-        if len(places) > 1:
-            first[places[0][0]] |= set(range(places[0][1], places[0][1] + window))
-            for key, i in places[1:]:
-                later[key] |= set(range(i, i + window))
+    for (k0, i0), *more in at.values():
+        for key, i in more:
+            gone[key] |= set(range(i, i + window))
+            own[k0] |= set(range(i0, i0 + window)) if guard_all or (key == k0 and i - i0 < window) else set()
     out = Counter()
     for d, t in docs:
         key = (d is None, d or 0, t or "")
-        lines = key[2].split("\n")
-        gone = later[key] - first[key]
-        out[d, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)] += 1
+        lines, drop = key[2].split("\n"), gone[key] - own[key]
+        out[d, len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)] += 1
     return out
 
 
@@ -279,40 +277,44 @@ def test_op10_whole(spark, sf_dir):
     assert got == want and any(k[2] for k in got)
 
 
-def test_line_edges(spark, docs, no_docs, clashing):
-    more = [(30, "a\nb\nc\nd"), (31, "x\na\nb\nc\ny\nb\nc\nd"), (32, "\n" * 9), (33, "q\nq\nq\nq\nq\nz"), (34, "a\nb"), (30, "a\nb\nc\nd")]
+@pytest.mark.parametrize("guard_all", [False, True])
+def test_line_edges(spark, docs, no_docs, clashing, guard_all):
+    more = [(30, "a\nb\nc\nd"), (31, "x\na\nb\nc\ny\nb\nc\nd"), (32, "\n" * 9), (33, "q\nq\nq\nq\nq\nz"), (34, "a\nb"), (30, "a\nb\nc\nd"), (None, "a\nb\nc\nd")]
     every = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
-    want = lines_expected(pairs(every, "doc_id", "text"))
-    assert Counter(pairs(L.line_dedup(every), *CLEAN)) == want
-    assert Counter(pairs(L.line_dedup(every.withColumns({c: F.lit("x") for c in ("later", "first", "pos", "h1", "lines", "gone")})), *CLEAN)) == want
-    assert L.line_dedup(no_docs).count() == 0
-
-
-def whole_expected(docs, window=3):
-    """Every line that a later occurrence covers goes, but for the first occurrence of a window that overlaps itself."""
-    at, gone, own = defaultdict(list), defaultdict(set), defaultdict(set)
-    for key in sorted({(d is None, d or 0, t or "") for d, t in docs}):
-        lines = key[2].split("\n")
-        for i in range(len(lines) - window + 1):
-            at[tuple(lines[i : i + window])].append((key, i))
-    for (k0, i0), *more in at.values():
-        for key, i in more:
-            gone[key] |= set(range(i, i + window))
-            own[k0] |= set(range(i0, i0 + window)) if key == k0 and i - i0 < window else set()
-    out = Counter()
-    for d, t in docs:
-        key = (d is None, d or 0, t or "")
-        lines, drop = key[2].split("\n"), gone[key] - own[key]
-        out[d, len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)] += 1
-    return out
+    want = lines_expected(pairs(every, "doc_id", "text"), guard_all=guard_all)
+    assert Counter(pairs(L.line_dedup(every, guard_all=guard_all), *CLEAN)) == want
+    assert Counter(pairs(L.line_dedup(every.withColumns({c: F.lit("x") for c in ("later", "first", "pos", "h1", "lines", "gone", "slot_", "word_", "set_")}), guard_all=guard_all), *CLEAN)) == want
+    assert L.line_dedup(no_docs, guard_all=guard_all).count() == 0
 
 
-def test_whole_passages_go(spark, sf_dir):
+def test_whole_passages_go(spark):
     rows = [(1, "a\nb\nc\nz"), (2, "p\nq\na\nb\nc\nr\ns"), (3, "p\nq\na\nb\nc\nr\ns"), (4, "k\nk\nk\nk\nk")]
-    got = {r.doc_id: r.clean_text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    got = {r.doc_id: r.clean_text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "a\nb\nc\nz", 2: "p\nq\nr\ns", 3: "", 4: "k\nk\nk"}
-    want = Counter((*k[:3], sha(k[3])) for k in whole_expected(read(spark, sf_dir, "documents", "doc_id", "text")).elements())
-    assert Counter(pairs(QUERIES["op10_line_dedup_whole"](spark, sf_dir), "doc_id", "n_lines", "n_removed", "clean_sha256")) == want
+
+
+def test_hot_windows(spark, monkeypatch):
+    """A window that most documents hold, hot keys by broadcast and others merged, and a filter of few bits."""
+    monkeypatch.setattr(_common, "HOT", 8)
+    monkeypatch.setattr(_common.may_match, "__defaults__", (256, False))
+    rows = [(i, "\n".join(["h1", "h2", "h3", f"u{i}", f"v{i % 40}", f"w{i % 40}", f"x{i % 40}"][i % 3 :])) for i in range(300)]
+    assert Counter(pairs(L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), *CLEAN)) == lines_expected(rows)
+
+
+def test_removal_is_linear(spark):
+    """A document of 400,000 lines, half of them covered."""
+    text = "\n".join(f"l{i}" for i in range(200_000))
+    rows = L.line_dedup(spark.createDataFrame([(1, text + "\n" + text)], "doc_id long, text string")).first()
+    assert rows.n_lines == 400_000 and rows.n_removed == 200_000 and rows.clean_text == text
+
+
+@pytest.mark.parametrize("without", [False, True])
+def test_filter_parts_rows(spark, without):
+    rows = spark.range(2000).selectExpr("if(id = 0, null, id) as k", "id as slot_", "'x' as word_")
+    keys = spark.range(0, 2000, 7).selectExpr("if(id = 0, null, id) as k")
+    got = {r.slot_ for r in _common.may_match(rows, keys, ["k"], 1 << 12, without).collect()}
+    surely = set(range(0, 2000, 7))
+    assert surely <= got and len(got) < 500 if not without else not surely & got and len(got) > 1500
 
 
 # secrets
