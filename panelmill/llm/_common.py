@@ -178,6 +178,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose words are hashed at once; the arrays of a longer text follow its words, not its bytes.
+SEGMENT = 1 << 20
+
+
+def segments(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` bytes that end at a text's border or before a byte that is no part of a word."""
+    size, a = size or SEGMENT, 0
+    while a < len(raw):
+        b = min(a + size, len(raw))
+        border = int(off[np.searchsorted(off, b)])
+        while b < border and is_word[raw[b]]:
+            ends = np.flatnonzero(~is_word[raw[b : min(b + 4096, border)]])
+            b = b + int(ends[0]) if len(ends) else min(b + 4096, border)
+        yield a, b
+        a = b
+
+
+def text_words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of all texts, and the text it is in, made segment by segment."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in segments(raw, off, is_word):
+        starts, ends, owner = word_bounds(raw[a:b], np.clip(off - a, 0, b - a), is_word)
+        hashes.append(word_hashes(raw[a:b], starts, ends))
+        owners.append(owner)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word: a sum of mixed (byte, place) terms, mixed again with the length."""
     if not len(starts):

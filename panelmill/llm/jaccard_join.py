@@ -4,12 +4,13 @@ Two sets of sizes a and b with 100 * |A & B| >= t * |A | B| share a token among
 tokens of each, whatever global order the tokens are put in. Candidates must therefore share prefix tokens under all of
 three orders: rare tokens first, and two unrelated pseudo-random orders. The steps:
 
-1. equal sets fold into a class, so exact copies cost one member;
-2. tokens are counted in hash buckets; tokens frequent in some slice of the input are known beforehand and put last
-   in the rare-first order (any order is sound), so that no bucket holds a hot token's whole list;
-3. prefix tokens under the rare-first order tie classes into candidate groups (connected components);
-4. each group is checked in blocks of bounded size: block pairs intersect the prefix filters of all orders, verify
-   what passes on the whole sets, and report a spanning forest and link counts, never the pairs;
+1. equal sets fold into a class, so exact copies cost one member; a class is told by 128 bits of its set;
+2. tokens are counted in hash buckets; tokens found frequent beforehand are put last in the rare-first order (any order
+   is sound), so that no bucket holds a hot token's whole list;
+3. a class's home is the star of the least class that shares one of its rare-first prefix tokens; stars are cut into
+   blocks of bounded size, and two stars meet only if a prefix token lies in both: no closure over chains of candidates;
+4. a pair of blocks intersects the prefix filters of all orders pair by pair, verifies what passes on the whole sets, and
+   reports a spanning forest and link counts, never the pairs;
 5. components of the links give the result.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm._common import materialize, mix, sized, slices, text_bytes, word_bounds, word_hashes
+from panelmill.llm._common import key_join, materialize, may_match, mix, remove, slices, text_bytes, text_words
 from panelmill.llm.components import connected_components
 
 #: Bytes that part words: blank and \x09-\x0D.
@@ -32,23 +33,36 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Odd multipliers of a shingle's words, derived from one constant.
 _SPREAD = [mix(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(64)]
 
-HEAVY_MOST = 1 << 17
+#: Tokens counted at once when frequent ones are sought; a task reports those it has seen ``OFTEN`` times.
+COUNTED_TOKENS = 1 << 20
+OFTEN = 16
+#: A token is frequent from one in 2 ** HEAVY_BITS of all tokens on, so there are at most that many.
+HEAVY_BITS = 20
 BUCKET_ROWS = 1_000_000
 DEALT_TOKENS = 500_000
-BLOCK_SETS = 512
+#: Within a bucket, tokens travel as their low bits: any mapping of tokens that all tasks share is sound.
+KEY_BITS = 40
+#: Sets and tokens of a block; blocks of large stars grow with the root of the star's size between the two.
+BLOCK_SETS, BLOCK_SETS_MOST = 64, 512
 BLOCK_TOKENS = 1_000_000
+#: Stars of one token that are paired in one row.
+PAIRED = 64
+CLASHES_MOST = 100_000
+#: Bits of a set's first key that count; fewer only in tests.
+FIRST_KEY_BITS = 64
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, end to end, and the offsets of each text's."""
     raw, off = text_bytes(column, lower=True)
     n = len(off) - 1
-    starts, ends, owner = word_bounds(raw, off, _IS_WORD)
-    words = word_hashes(raw, starts, ends)
+    words, owner = text_words(raw, off, _IS_WORD)
     per = np.bincount(owner, minlength=n)
     out, owners = [], []
     if len(words) >= width:
-        h = sum(words[k : len(words) - width + 1 + k] * _SPREAD[k] for k in range(width))
+        h = np.zeros(len(words) - width + 1, np.uint64)
+        for k in range(width):
+            h += words[k : len(words) - width + 1 + k] * _SPREAD[k]
         whole = owner[: len(words) - width + 1] == owner[width - 1 :]
         out.append(mix(h[whole]))
         owners.append(owner[: len(words) - width + 1][whole])
@@ -61,6 +75,9 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
             owners.append(short)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    if n == 1:  # maybe a very long text: one array to sort
+        h = np.unique(out[0])
+        return h, np.array([0, len(h)])
     h, who = np.concatenate(out), np.concatenate(owners)
     order = np.lexsort((h, who))
     h, who = h[order], who[order]
@@ -69,146 +86,185 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
     return h[keep], np.concatenate([[0], np.cumsum(np.bincount(who[keep], minlength=n))])
 
 
-def class_ids(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set (0 for an empty one)."""
+def set_keys(sets: np.ndarray, off: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit keys of each set (0 for an empty one)."""
     size = np.diff(off)
     full = np.flatnonzero(size)
-    out = np.zeros(len(size), np.uint64)
+    out = np.zeros((2, len(size)), np.uint64)
     if len(full):
-        out[full] = mix(np.add.reduceat(mix(sets ^ _SPREAD[40]), off[:-1][full]) + size[full].astype(np.uint64) * _SPREAD[41])
-    return out.view(np.int64)
+        for k in range(2):
+            out[k, full] = mix(np.add.reduceat(mix(sets ^ _SPREAD[40 + 2 * k]), off[:-1][full]) + size[full].astype(np.uint64) * _SPREAD[41 + 2 * k])
+    return (out[0] >> np.uint64(64 - bits)).view(np.int64), out[1].view(np.int64)
 
 
-def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
-    return n - -(-n * percent // 100) + 1
+def class_ids(sets: np.ndarray, off: np.ndarray, clashes: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The first key of each set; the second where the first is known (``clashes``, sorted) to stand for different sets."""
+    a, b = set_keys(sets, off, bits)
+    return np.where(np.isin(a, clashes), b, a) if len(clashes) else a
 
 
-def _distinct_classes(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the first text of each class in a slice: all tokens, their classes and set sizes."""
-    sets, off = shingle_sets(batch.column("text"), width)
-    ids, size = class_ids(sets, off), np.diff(off)
-    _, first = np.unique(ids, return_index=True)
-    use = np.zeros(len(ids), bool)
-    use[first] = True
-    use &= size > 0
-    of = np.repeat(np.arange(len(ids)), size)
-    mine = use[of]
-    return sets[mine], ids[of[mine]], size[of[mine]].astype(np.int32)
+def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    return n - -(-n * percent // 100) + 1
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (0, doc_id, n, class) per document and (1, null, count, token) for tokens that a slice finds frequent."""
+    """Rows (0, doc_id, n, a, b) per document and (1, null, count, token, null) for tokens that a task finds frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "class_id"]
+        names = ["kind", "doc_id", "n", "a", "b"]
+        token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            again = (n > 1) | np.isin(found, token)
+            every, at = np.unique(np.concatenate([token, found[again]]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([count, n[again]]), minlength=len(every)).astype(np.int64)
+            if len(every) > COUNTED_TOKENS:  # the least counts go
+                most = np.sort(np.argpartition(total, -COUNTED_TOKENS // 2)[-COUNTED_TOKENS // 2 :])
+                every, total = every[most], total[most]
+            return every, total
+
         for batch in slices(batches):
             sets, off = shingle_sets(batch.column("text"), width)
-            ids, size = class_ids(sets, off), np.diff(off)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(ids, pa.int64(), mask=size == 0)], names=names)
-            _, first = np.unique(ids, return_index=True)
-            use = np.zeros(len(ids), bool)
-            use[first] = True
-            token, count = np.unique(sets[np.repeat(use, size)], return_counts=True)
-            often = count >= max(8, len(first) // 100)
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(token[often].view(np.int64))], names=names)
+            (a, b), size = set_keys(sets, off, FIRST_KEY_BITS), np.diff(off)
+            none = size == 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(a, mask=none), pa.array(b, mask=none)], names=names)
+            use = np.zeros(len(a), bool)
+            use[np.unique(a, return_index=True)[1]] = True
+            held.append(sets[np.repeat(use, size)])
+            if sum(map(len, held)) >= COUNTED_TOKENS:
+                token, count = merge()
+        if held:
+            token, count = merge()
+        often = count >= OFTEN
+        k = int(often.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often]), pa.array(token[often].view(np.int64)), pa.nulls(k, pa.int64())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, class_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
 
 
-BLOB = ["bucket", "token", "class_id", "n", "plain", "times"]
+BLOB = {"token": np.uint64, "class_id": np.int64, "times": np.uint32, "hot": np.int32, "hot_class": np.int64, "info_class": np.int64, "info": np.int32}
 
 
-def _cut(column: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The bytes of ``column`` between neighbouring places of ``at``."""
-    raw, w = column.tobytes(), column.itemsize
-    return pa.array([raw[a * w : b * w] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(column)])], pa.binary())
+def _cut(column: np.ndarray, at: np.ndarray, drop: int = 0) -> pa.Array:
+    """The bytes of ``column`` between neighbouring places of ``at``, without the ``drop`` high bytes of each value."""
+    w = column.itemsize
+    raw = np.ascontiguousarray(column.view(np.uint8).reshape(-1, w)[:, : w - drop]).tobytes()
+    w -= drop
+    return pa.array([raw[a * w : b * w] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
 
 
-def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, width: int) -> DataFrame:
-    """(class_id, token, df, n, plain) of tokens that several classes hold, and of frequent tokens that a prefix reaches.
+def _postings(docs: DataFrame, heavy: np.ndarray, clashes: np.ndarray, buckets: int, percent: int, width: int) -> DataFrame:
+    """(class_id, token, df, n, plain): rows of three kinds.
 
-    ``plain``: how many of the class's tokens are not frequent. Frequent tokens have df null.
+    Tokens that several classes hold, with df; frequent tokens that a prefix reaches, with df null and their negative
+    rank as token; and for each class a row without token: n, the size of its set, and plain, how many of its tokens
+    are not frequent.
     """
     by_token = np.argsort(heavy)
-    heavy_sorted = heavy[by_token]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((heavy_sorted, by_token.astype(np.int64)))
-    bits = np.uint64(64 - max(buckets.bit_length() - 1, 1))
-
-    def prefixed(token: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Without frequent tokens that no prefix reaches; then how many plain tokens the class has, -1 on frequent ones."""
-        known, rank_of = shared.value
-        at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-        hot = known[at] == token if len(known) else np.zeros(len(token), bool)
-        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        plain = np.repeat(np.add.reduceat((~hot).astype(np.int32), start), np.diff(np.append(start, len(token))))
-        some = np.flatnonzero(hot & (prefix_length(size, percent) > plain))
-        forced = np.zeros(len(token), bool)
-        if len(some):  # the first frequent tokens of a class, by their rank, as many as its prefix still needs
-            order = some[np.lexsort((rank_of[at[some]], owner[some]))]
-            begin = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
-            place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-            forced[order[place < (prefix_length(size, percent) - plain)[order]]] = True
-        use = ~hot | forced
-        return token[use], owner[use], size[use], np.where(forced, -1, plain)[use].astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((heavy[by_token], by_token.astype(np.int64)))
+    bits = max(buckets.bit_length() - 1, 1)
+    low = np.uint64((1 << KEY_BITS) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        bucket_of = lambda x: (x >> np.uint64(64 - bits)).astype(np.int32)
+
+        def prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            """Of the first text of each class: plain tokens and classes; frequent ones in prefixes and classes; classes, sizes, plain counts."""
+            known, rank_of = shared.value
+            sets, off = shingle_sets(batch.column("text"), width)
+            ids, size = class_ids(sets, off, clashes, FIRST_KEY_BITS), np.diff(off)
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            first &= size > 0
+            of = np.repeat(np.arange(len(ids)), size)
+            at = np.minimum(np.searchsorted(known, sets), max(len(known) - 1, 0))
+            hot = known[at] == sets if len(known) else np.zeros(len(sets), bool)
+            cold = ~hot & first[of]
+            plain = np.bincount(of[cold], minlength=len(ids))
+            key = np.sort(mix((sets[cold] & low | bucket_of(sets[cold]).astype(np.uint64) << np.uint64(KEY_BITS)) * _SPREAD[60] + ids[of[cold]].view(np.uint64)))
+            if (key[1:] == key[:-1]).any():  # keys that meet in one set count once: a shorter count makes a longer prefix
+                pairs = np.unique(np.stack([of[cold].astype(np.uint64), sets[cold] & low, bucket_of(sets[cold]).astype(np.uint64)]), axis=1)
+                plain = np.bincount(pairs[0].astype(np.int64), minlength=len(ids))
+            need = prefix_length(size, percent) - plain
+            some = np.flatnonzero(hot & first[of] & (need[of] > 0))
+            if len(some):  # the first frequent tokens of a class, by their rank, as many as its prefix still needs
+                some = some[np.lexsort((rank_of[at[some]], of[some]))]
+                begin = np.flatnonzero(np.concatenate([[True], of[some][1:] != of[some][:-1]]))
+                place = np.arange(len(some)) - np.repeat(begin, np.diff(np.append(begin, len(some))))
+                some = some[place < need[of[some]]]
+            return sets[cold], ids[of[cold]], -1 - rank_of[at[some]].astype(np.int32), ids[of[some]], ids[first], np.stack([size[first], plain[first]], 1).astype(np.int32)
 
         def close() -> pa.RecordBatch:
-            token, owner, size, plain = (np.concatenate(c) for c in zip(*held))
+            token, owner, hot, hot_owner, ids, info = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            bucket = (np.where(plain < 0, mix(owner.view(np.uint64)), token) >> bits).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, token, owner, size, plain = (c[order] for c in (bucket, token, owner, size, plain))
-            found, first = np.unique(bucket, return_index=True)
-            # tokens one by one; class, size and plain count once per run, with its length
-            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]) | (plain[1:] != plain[:-1])])
-            runs = np.flatnonzero(new)
-            lengths = np.diff(np.append(runs, len(token))).astype(np.int32)
-            parts = [_cut(token, first)]
-            parts += [_cut(c, np.searchsorted(runs, first)) for c in (owner[runs], size[runs], plain[runs], lengths)]
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *parts], names=BLOB)
+            ends = lambda b: np.searchsorted(b, np.arange(buckets + 1))
+            order = np.argsort(bucket_of(token), kind="stable")
+            token, owner = token[order], owner[order]
+            bucket = bucket_of(token)
+            # classes count once per run of their tokens
+            runs = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])) if len(token) else np.zeros(0, np.int64)
+            parts = [_cut(token, ends(bucket), 8 - KEY_BITS // 8)]
+            parts += [_cut(c, ends(bucket[runs])) for c in (owner[runs], np.diff(np.append(runs, len(token))).astype(np.uint32))]
+            for key, values in ((hot_owner, hot), (ids, info)):
+                spot = bucket_of(mix(key.view(np.uint64)))
+                order = np.argsort(spot, kind="stable")
+                pair = [_cut(np.ascontiguousarray(values[order]).view(np.int64) if values.ndim > 1 else values[order], ends(spot[order])), _cut(key[order], ends(spot[order]))]
+                parts += pair if values.ndim == 1 else pair[::-1]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int64)), *parts], names=["bucket", *BLOB])
 
         for batch in slices(batches):
-            token, owner, size = _distinct_classes(batch, width)
-            if len(token):
-                held.append(prefixed(token, owner, size))
+            held.append(prepared(batch))
             if sum(len(h[0]) for h in held) >= DEALT_TOKENS:
                 yield close()
         if held:
             yield close()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[list[bytes]]) -> pa.RecordBatch:
-            token, owner, n, plain, times = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.int32, np.int32)))
-            owner, n, plain = (np.repeat(c, times) for c in (owner, n, plain))
+        names = ["class_id", "token", "df", "n", "plain"]
+
+        def close(bucket: int, parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            raw = {c: b"".join(p) for c, p in zip(BLOB, parts)}
+            wide = np.zeros((len(raw["token"]) * 8 // KEY_BITS, 8), np.uint8)
+            wide[:, : KEY_BITS // 8] = np.frombuffer(raw.pop("token"), np.uint8).reshape(len(wide), -1)
+            token = wide.reshape(-1).view(np.uint64)
+            x = {c: np.frombuffer(b, BLOB[c]) for c, b in raw.items()}
+            owner = np.repeat(x["class_id"], x["times"])
             order = np.lexsort((owner, token))
-            token, owner, n, plain = token[order], owner[order], n[order], plain[order]
+            token, owner = token[order], owner[order]
             keep = np.ones(len(token), bool)
             keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-            token, owner, n, plain = token[keep], owner[keep], n[keep], plain[keep]
-            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, owner = token[keep], owner[keep]
+            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             runs = np.diff(np.append(new, len(token)))
             df = np.repeat(runs, runs)
-            forced = plain < 0
-            use = forced | (df > 1)
-            return pa.RecordBatch.from_arrays([pa.array(owner[use]), pa.array(token[use].view(np.int64)), pa.array(df[use].astype(np.int64), mask=forced[use]), pa.array(n[use].astype(np.int64)), pa.array(plain[use].astype(np.int64))], names=["class_id", "token", "df", "n", "plain"])
-
-        now, parts = None, [[] for _ in BLOB[1:]]
+            token, owner, df = token[df > 1], owner[df > 1], df[df > 1]
+            token = token.view(np.int64) | np.int64(bucket << KEY_BITS)
+            void = lambda k: pa.nulls(k, pa.int64())
+            for a in range(0, len(token), 100_000):
+                k = len(token[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + k]), pa.array(token[a : a + k]), pa.array(df[a : a + k].astype(np.int64)), void(k), void(k)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x["hot_class"]), pa.array(x["hot"].astype(np.int64)), void(len(x["hot"])), void(len(x["hot"])), void(len(x["hot"]))], names=names)
+            ids, info = x["info_class"], x["info"].reshape(-1, 2).astype(np.int64)
+            ids, at = np.unique(ids, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), void(len(ids)), void(len(ids)), pa.array(info[at, 0]), pa.array(info[at, 1])], names=names)
+
+        now, parts = None, [[] for _ in BLOB]
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in BLOB)):
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", *BLOB))):
                 if now is not None and bucket != now:
-                    yield close(parts)
-                    parts = [[] for _ in BLOB[1:]]
+                    yield from close(now, parts)
+                    parts = [[] for _ in BLOB]
                 now = bucket
                 for p, b in zip(parts, blobs):
                     p.append(b)
         if now is not None:
-            yield close(parts)
+            yield from close(now, parts)
 
-    blobs = docs.select("text").mapInArrow(deal, "bucket long, token binary, class_id binary, n binary, plain binary, times binary")
+    blobs = docs.select("text").mapInArrow(deal, "bucket long, " + ", ".join(f"{c} binary" for c in BLOB))
     # a bucket is a partition of its own: hashed, several large ones would meet in one task
     dealt = blobs.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "class_id long, token long, df long, n long, plain long")
@@ -217,9 +273,10 @@ def _postings(docs: DataFrame, heavy: np.ndarray, buckets: int, percent: int, wi
 def _prefixes(postings: DataFrame, percent: int) -> DataFrame:
     """(token, class_id) of each class's prefix under the rare-first order, as far as other classes hold the token."""
     own = Window.partitionBy("class_id")
-    due = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    ranked = postings.select("*", F.count("df").over(own).alias("shared"), F.row_number().over(own.orderBy(F.col("df").asc_nulls_last(), "token")).alias("place"))
-    return ranked.where(F.col("df").isNull() | (F.col("place") <= due - (F.col("plain") - F.col("shared")))).select("token", "class_id").distinct()
+    size, plain = F.max("n").over(own), F.max("plain").over(own)
+    due = size - F.ceil(size * percent / F.lit(100)) + 1
+    ranked = postings.select("class_id", "token", "df", due.alias("due"), plain.alias("plain"), F.count("df").over(own).alias("shared"), F.row_number().over(own.orderBy(F.col("df").asc_nulls_last(), "token")).alias("place"))
+    return ranked.where(F.col("token").isNotNull() & (F.col("df").isNull() | (F.col("place") <= F.col("due") - (F.col("plain") - F.col("shared"))))).select("token", "class_id").distinct()
 
 
 def _share(prefix: list[np.ndarray]) -> np.ndarray:
@@ -296,15 +353,10 @@ def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """(class_id, root, links) from rows (job, i, j, side, class_id, times, set, rare) sorted by job and block pair.
-
-    A class's set and its prefix come in rows of their own; repeats of either change nothing.
-    """
+    """(class_id, root, links) from rows (i, j, side, class_id, times, set, rare) sorted by block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[tuple], cross: bool) -> pa.RecordBatch | None:
-            prefix = {r[1]: r[4] for r in parts if r[4] is not None}
-            rows = [(*r[:4], prefix[r[1]]) for r in {r[1]: r for r in parts if r[3] is not None}.values()]
+        def close(rows: list[tuple], cross: bool) -> pa.RecordBatch | None:
             if len(rows) < 2:
                 return None
             side, ids, times = (np.array([r[c] for r in rows], np.int64) for c in range(3))
@@ -315,73 +367,116 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
 
         now, rows = None, []
         for batch in batches:
-            for job, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("job", "i", "j", "side", "class_id", "times", "set", "rare"))):
-                if now is not None and now != (job, i, j):
-                    if (out := close(rows, now[1] != now[2])) is not None:
+            for i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "class_id", "times", "set", "rare"))):
+                if now is not None and now != (i, j):
+                    if (out := close(rows, now[0] != now[1])) is not None:
                         yield out
                     rows = []
-                now = job, i, j
+                now = i, j
                 rows.append(tuple(rest))
-        if now is not None and (out := close(rows, now[1] != now[2])) is not None:
+        if now is not None and (out := close(rows, now[0] != now[1])) is not None:
             yield out
 
     return rows.mapInArrow(run, "class_id long, root long, links long")
 
 
-def _fetch_sets(docs: DataFrame, width: int) -> DataFrame:
+def _fetch_sets(docs: DataFrame, clashes: np.ndarray, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, off = shingle_sets(batch.column("text"), width)
-            ids = class_ids(sets, off)
+            ids = class_ids(sets, off, clashes, FIRST_KEY_BITS)
             raw = sets.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids), pa.array([raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())], names=["doc_id", "class_id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())], names=["class_id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class_id long, set binary")
+    return docs.select("text").mapInArrow(run, "class_id long, set binary")
+
+
+def _star_pairs(held: DataFrame) -> DataFrame:
+    """(u, nu, v, nv): stars with a prefix token in common and their numbers of blocks, from (token, label, blocks).
+
+    The stars of a token are dealt to slices of about ``PAIRED``, and slices meet pair by pair, so that no row holds more
+    stars than two slices do.
+    """
+    spots = held.select("token", "label", "blocks").distinct()
+    several = materialize(spots.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    dealt = key_join(spots, several, ["token"], "k").withColumn("cuts", F.ceil(F.col("k") / PAIRED).cast("int")).withColumn("cut", F.pmod(F.xxhash64("label", "token"), F.col("cuts")).cast("int"))
+    met = dealt.select("token", "label", "blocks", "cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    met = met.groupBy("token", F.least("cut", "other").alias("x"), F.greatest("cut", "other").alias("y")).agg(F.collect_list(F.struct("label", "blocks", "cut")).alias("s"))
+    apart = lambda a, b: (a["label"] < b["label"]) & ((F.col("x") == F.col("y")) | (a["cut"] != b["cut"]))
+    pair = lambda a: F.transform(F.filter("s", lambda b: apart(a, b)), lambda b: F.struct(a["label"].alias("u"), a["blocks"].alias("nu"), b["label"].alias("v"), b["blocks"].alias("nv")))
+    return met.select(F.inline(F.flatten(F.transform("s", pair)))).distinct()
+
+
+def _block(label: str, part: str) -> F.Column:
+    return F.xxhash64(F.col(label), F.col(part))
+
+
+def _numbered(classes: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Homes (class_id, label, blocks, block, least, times) of classes that share a prefix token, and block pairs (block, i, j)."""
+    star = held.groupBy("class_id").agg(F.min("pivot").alias("label"))
+    placed = materialize(classes.join(star, "class_id"), "placed")
+    per = F.least(F.greatest(F.lit(BLOCK_SETS), (2 * F.sqrt("k")).cast("int")), F.lit(BLOCK_SETS_MOST))
+    stars = placed.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
+    stars = materialize(stars.select("label", "k", F.greatest(F.ceil(F.col("k") / per), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")), "stars")
+    homes = key_join(placed, stars, ["label"], "k").withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("block", _block("label", "part"))
+    homes = materialize(homes.select("class_id", "label", "blocks", "block", "least", "times"), "homes")
+    across = _star_pairs(held.join(homes.select("class_id", "label", "blocks").hint("merge"), "class_id"))
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    far = across.select("u", "v", "nv", parts("nu").alias("pu")).select("u", "pu", "v", parts("nv").alias("pv")).select(_block("u", "pu").alias("a"), _block("v", "pv").alias("b"))
+    near = stars.where("k > 1").select("label", "blocks", parts("blocks").alias("p")).select("label", "p", F.explode(F.sequence("p", F.col("blocks") - 1)).alias("q")).select(_block("label", "p").alias("a"), _block("label", "q").alias("b"))
+    tasks = far.unionByName(near).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    return homes, tasks.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, set_a, set_b.
 
     A set: the distinct ``width``-word shingles (a shorter text: its whole word sequence); texts without words, and
     nulls, have an empty set and link with nothing. Sets link when 100 * intersection >= percent * union. The component
     id is the least doc_id that links reach (a row without partner: its own); n_links counts the linked rows, exact
     copies included. Repeated rows are rows of their own; a null doc_id takes part, and is no component id unless
-    its component has no other. Other columns are ignored; an empty table gives an empty one.
+    its component has no other. set_a and set_b are 128 bits of the set (null for an empty one). Other columns are
+    ignored; an empty table gives an empty one.
     """
     parts = materialize(_members(docs, width), "sets")
-    members = parts.where("kind = 0").select("doc_id", "n", "class_id")
-    frequent = parts.where("kind = 1").groupBy("class_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class_id").limit(HEAVY_MOST)
-    heavy = np.array([r.class_id for r in frequent.orderBy("n", "class_id").collect()], np.int64).view(np.uint64)  # at most HEAVY_MOST
+    members = parts.where("kind = 0").select("doc_id", "n", "a", "b")
+    mixed = members.where("n > 0").groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")
+    clashes = np.sort(mixed.select("a").limit(CLASHES_MOST + 1).toPandas()["a"].to_numpy(np.int64))  # none below some 10^9 sets
+    if len(clashes) > CLASHES_MOST:
+        raise RuntimeError("too many sets share a key")
+    members = members.withColumn("class_id", F.when(F.col("a").isin(clashes.tolist()), F.col("b")).otherwise(F.col("a")) if len(clashes) else F.col("a"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = parts.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > max(OFTEN, int(total) >> HEAVY_BITS))
+    frequent = frequent.toArrow().sort_by([("n", "ascending"), ("a", "ascending")])  # at most 2 ** HEAVY_BITS rows of 16 bytes
+    heavy = frequent.column("a").to_numpy().astype(np.int64).view(np.uint64)
     buckets = 1 << max(4, (int(total) // BUCKET_ROWS).bit_length())
-    prefixes = materialize(_prefixes(_postings(docs, heavy, buckets, percent, width), percent), "prefixes")
-
-    tied = prefixes.groupBy("token").agg(F.min("class_id").alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    groups = materialize(connected_components(prefixes.join(tied, "token").select(F.col("class_id").alias("u"), F.col("pivot").alias("v"))), "groups")
-    classes = materialize(members.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("n").alias("n")), "classes")
-    rare = prefixes.join(groups.select(F.col("node").alias("class_id")), "class_id", "left_semi").groupBy("class_id").agg(F.collect_list("token").alias("rare"))
-    inside = materialize(groups.select(F.col("node").alias("class_id"), F.col("root").alias("job")).join(classes, "class_id").join(rare, "class_id"), "inside")
-    blocks = inside.groupBy("job").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
-    jobs = materialize(inside.join(blocks, "job").withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "jobs")
-
-    # texts that stand for a class in some group, then their sets; a prefix goes to its blocks without passing a broadcast
-    stand = docs.select("doc_id", "text").alias("d").join(sized(jobs.select("least")).alias("l"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("l.least")), "left_semi")
-    place = ["job", "blocks", "side", "class_id", "times"]
-    sets = _fetch_sets(stand, width).join(sized(jobs.select("least", *place)), "class_id").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    parts = sets.select(*place, "set", F.lit(None).cast("array<long>").alias("rare")).unionByName(jobs.select(*place, F.lit(None).cast("binary").alias("set"), "rare"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = parts.select("*", other.alias("other")).select("job", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class_id", "times", "set", "rare")
-    found = materialize(_verify(dealt.repartition("job", "i", "j").sortWithinPartitions("job", "i", "j"), percent), "links")
+    prefixes = materialize(_prefixes(_postings(docs, heavy, clashes, buckets, percent, width), percent), "prefixes")
+
+    classes = members.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("n").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"), F.max("b").alias("b"))
+    classes = materialize(classes, "classes")
+    if len(clashes) and not classes.where("lo <> hi").isEmpty():
+        raise RuntimeError("sets share both keys")
+    tied = materialize(prefixes.groupBy("token").agg(F.min("class_id").alias("pivot"), F.count("*").alias("k")).where("k > 1"), "tied")
+    held = materialize(key_join(prefixes, tied, ["token"], "k").select("token", "class_id", "pivot"), "held")
+    homes, tasks = _numbered(classes.select("class_id", "least", "times", "n"), held)
+
+    # the sets of texts that stand for a class in some star; no text is shuffled
+    stand = may_match(docs.select("doc_id", "text"), homes.select(F.col("least").alias("doc_id")), ["doc_id"])
+    sets = may_match(_fetch_sets(stand, clashes, width), homes, ["class_id"]).groupBy("class_id").agg(F.first("set").alias("set"))
+    rare = held.groupBy("class_id").agg(F.collect_list("token").alias("rare"))
+    rows = homes.select("class_id", "block", "times").join(tasks.hint("merge"), "block").withColumnRenamed("block", "side")
+    dealt = rows.join(sets.hint("merge"), "class_id").join(rare.hint("merge"), "class_id").select("i", "j", "side", "class_id", "times", "set", "rare")
+    found = materialize(_verify(dealt.repartition("i", "j").sortWithinPartitions("i", "j"), percent), "links")
+    remove(prefixes, tied, held)
 
     roots = connected_components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
     number = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     special = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(number, "class_id", "left").where("root is not null or times > 1")
-    special = materialize(special.select("class_id", F.coalesce("root", "class_id").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")), "special")
+    special = materialize(special.select("class_id", F.coalesce("root", "class_id").alias("root"), "least", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")), "special")
     lowest = special.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = materialize(special.join(lowest, "root").select("class_id", "component_id", "links"), "known")
-    return members.join(sized(known), "class_id", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    known = materialize(special.join(lowest, "root").select("class_id", "times", "component_id", "links"), "known")
+    remove(found, classes, special)
+    part = key_join(members, known, ["class_id"], "times").select("doc_id", "n", "component_id", "links", "a", "b")
+    alone = may_match(members, known, ["class_id"]).join(known.select("class_id").hint("merge"), "class_id", "left_anti").unionByName(may_match(members, known, ["class_id"], without=True))
+    out = part.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).alias("links"), "a", "b"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("links").cast("long").alias("n_links"), F.col("a").alias("set_a"), F.col("b").alias("set_b"))

@@ -126,6 +126,52 @@ def test_links_count_once_where_a_side_is_empty(spark, monkeypatch):
     assert got == jaccard_expected(rows) and {k[3] for k in got} == {1, 2}
 
 
+def test_sets_that_share_a_key_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(J, "FIRST_KEY_BITS", 5)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i % 9])) for i in range(40)] + [(100 + i, " ".join(f"r{rng.randrange(99)}" for _ in range(rng.randrange(9)))) for i in range(60)]
+    assert Counter(pairs(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), *JOINED)) == jaccard_expected(rows)
+
+
+def test_frequent_tokens_in_prefixes(spark, monkeypatch):
+    """Tokens that a task finds often are put last; sets of such tokens alone still link. Stars meet slice by slice."""
+    monkeypatch.setattr(J, "OFTEN", 2)
+    monkeypatch.setattr(J, "PAIRED", 3)
+    monkeypatch.setattr(J, "BLOCK_SETS", 5)
+    rng = random.Random(8)
+    parts = [" ".join(f"p{k}w{i}" for i in range(14)) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(parts, rng.randrange(1, 9)) + [f"e{rng.randrange(30)}"])) for i in range(200)]
+    assert Counter(pairs(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), *JOINED)) == jaccard_expected(rows)
+
+
+def test_a_chain_of_candidates_makes_linear_work(spark):
+    """Each class shares one prefix token with the next: tasks and their members grow with the classes, not their square."""
+    n = 3000
+    classes = spark.range(n).selectExpr("id as class_id", "id as least", "1L as times", "100L as n")
+    held = spark.range(n - 1).selectExpr("id as token", "explode(array(id, id + 1)) as class_id", "id as pivot")
+    homes, tasks = J._numbered(classes, held)
+    assert homes.count() == n
+    met = homes.join(tasks, "block").groupBy("i", "j").agg(F.collect_set("class_id").alias("c")).collect()
+    assert sum(len(r.c) for r in met) <= 6 * n
+    together = {frozenset((a, a + 1)) for r in met for a in r.c if a + 1 in r.c}
+    assert len(together) == n - 1
+
+
+def test_words_in_segments(monkeypatch):
+    """Hashes and shingles do not depend on where segments part."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab \té𝔘\n"), 5000)), "", "x" * 3000 + " y", "a b c"]
+    column = J.pa.array(texts)
+    want = J.shingle_sets(column)
+    one = J.shingle_sets(J.pa.array(texts[:1]))
+    for size in (1, 7, 100):
+        monkeypatch.setattr(_common, "SEGMENT", size)
+        for got, expected in ((J.shingle_sets(column), want), (J.shingle_sets(J.pa.array(texts[:1])), one)):
+            assert all((x == y).all() for x, y in zip(got, expected))
+    assert (one[0] == want[0][: want[1][1]]).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=24))
 def test_blocks_miss_no_link(lists):
