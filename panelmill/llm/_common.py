@@ -61,14 +61,21 @@ def remove(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS, values: Column | None = None) -> DataFrame:
-    """``df`` with a broadcast hint when a count proves it small; without one (a shuffled join) beyond that.
+def small(df: DataFrame, values: Column | None = None, most: int | None = None) -> bool:
+    """Whether a count proves that ``df`` may be broadcast; ``values``: how many values a row's arrays hold; they count like rows.
 
-    ``values``: how many values a row's arrays hold; they count like rows. Call it on materialized tables only: there
-    a count reads file footers or one column, and no task gathers rows for it.
+    Call it on materialized tables only: there a count reads file footers or one column, and no task gathers rows for it.
     """
     n = df.count() if values is None else df.agg(F.coalesce(F.sum(values + 1), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most else df
+    return n <= (BROADCAST_ROWS if most is None else most)
+
+
+def sized(df: DataFrame, most: int | None = None, values: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint when it is ``small``; without one (a shuffled join) beyond that.
+
+    For tables that follow a benchmark, not the documents; those of documents are joined by ``key_join`` and its kin.
+    """
+    return F.broadcast(df) if small(df, values, most) else df
 
 
 def may_match(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = BITS, without: bool = False) -> DataFrame:
@@ -86,16 +93,36 @@ def may_match(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = BITS,
     return found.where(~hit if without else hit).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
-def key_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, whose ``on`` is unique and whose ``weight`` says how many rows hold the key.
+def key_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, every: bool = False) -> DataFrame:
+    """Inner, null-safe join of ``rows`` with ``table``, whose ``on`` is unique and whose ``weight`` says how many rows hold the key.
 
     Keys above one ``HOT``-th of all rows come by broadcast, so that no task gets all rows of one; the others are
-    merged, after a filter of fixed size has kept rows without a partner out of the shuffle.
+    merged, after a filter of fixed size has kept rows without a partner out of the shuffle (``every``: there are none).
     """
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     often = table.where(F.col(weight) > int(total) // HOT)
-    rest = may_match(rows, table, on).join(F.broadcast(often.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(often), on).unionByName(rest.join(table.hint("merge"), on))
+    rest = (rows if every else may_match(rows, table, on)).alias("l_").join(F.broadcast(often.select(*on)).alias("r_"), _same(on), "left_anti")
+    more = [c for c in table.columns if c not in on]
+    both = lambda left, right: left.alias("l_").join(right.alias("r_"), _same(on)).select("l_.*", *(F.col(f"r_.{c}") for c in more))
+    return both(rows, F.broadcast(often)).unionByName(both(rest, table.hint("merge")))
+
+
+def _same(on: list[str]) -> Column:
+    out = F.lit(True)
+    for c in on:
+        out = out & F.col(f"l_.{c}").eqNullSafe(F.col(f"r_.{c}"))
+    return out
+
+
+def left_out(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose ``on`` (null-safe) is not in ``keys``. Only rows that pass the filter of fixed size are shuffled."""
+    maybe = may_match(rows, keys, on).alias("l_").join(keys.select(*on).hint("merge").alias("r_"), _same(on), "left_anti")
+    return may_match(rows, keys, on, without=True).unionByName(maybe)
+
+
+def key_left_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """As ``key_join``, and rows without a partner with nulls for the columns of ``table``."""
+    return key_join(rows, table, on, weight).unionByName(left_out(rows, table, on), allowMissingColumns=True)
 
 
 def ascii_lower(text: Column | str) -> Column:

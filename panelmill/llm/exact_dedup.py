@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm._common import materialize, sized, slices, text_bytes
+from panelmill.llm._common import key_left_join, materialize, may_match, remove, sized, slices, text_bytes
 
 CHUNK = 4096
 COMPARE_CHUNK = 65_536
@@ -110,9 +110,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def collisions(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Of the fingerprint keys in ``keys``, those whose rows differ in some chunk."""
+    """Of the fingerprint keys in ``keys``, those whose rows differ in some chunk.
+
+    Other rows stay out by a filter of fixed size; one that slips through agrees with itself.
+    """
     chunks = docs.select("text").mapInArrow(_chunks, "fp1 long, fp2 long, n_bytes long, chunk_no long, chunk binary")
-    rows = chunks.join(sized(keys), ["fp1", "fp2", "n_bytes"], "left_semi")
+    rows = may_match(chunks, keys, ["fp1", "fp2", "n_bytes"])
     ends = rows.groupBy("fp1", "fp2", "n_bytes", "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return ends.where("low <> high").select("fp1", "fp2", "n_bytes").distinct()
 
@@ -132,7 +135,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     groups = told.groupBy(*key, "apart").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.max_by("row_id", rank).alias("keep_row")).where("group_size > 1")
     groups = materialize(groups, "groups")
-    return told.join(sized(groups), [*key, "apart"], "left").select(
+    remove(twice)
+    return key_left_join(told, groups, [*key, "apart"], "group_size").select(
         "row_id",
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
