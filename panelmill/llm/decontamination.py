@@ -8,14 +8,19 @@ rarest terms near each other, in any order.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm._common import ascii_lower, materialize, sized
+from panelmill.llm._common import ascii_lower, key_join, key_left_join, materialize, may_match, sized, small
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 ANCHORS = 2
+#: Words of a document that are compared in one row.
+STRETCH = 512
 
 
 def closing() -> Column:
@@ -41,10 +46,14 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (doc_id, text_key, pos, term) of the terms in ``vocabulary`` (term: 64-bit hash), and a closing one per row."""
-    terms = vocabulary.select("term").union(docs.sparkSession.range(1).select(closing().alias("term"))).distinct()
+    """Postings (doc_id, text_key, pos, term) of the terms in ``vocabulary`` (term: 64-bit hash), and a closing one per row.
+
+    A vocabulary beyond a broadcast goes through a filter of fixed size: the index then holds some terms more.
+    """
+    terms = materialize(vocabulary.select("term").union(docs.sparkSession.range(1).select(closing().alias("term"))).distinct(), "vocabulary")
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.posexplode(F.concat(words(), F.array(F.lit("")))).alias("pos", "word"))
-    postings = tokens.select("doc_id", "text_key", "pos", F.xxhash64("word").alias("term")).join(sized(terms), "term", "left_semi")
+    tokens = tokens.select("doc_id", "text_key", "pos", F.xxhash64("word").alias("term"))
+    postings = tokens.join(F.broadcast(terms), "term", "left_semi") if small(terms) else may_match(tokens, terms, ["term"]).select("term", "doc_id", "text_key", "pos")
     return materialize(postings.sortWithinPartitions("term"), "postings")
 
 
@@ -60,9 +69,14 @@ def _anchored(items: DataFrame, index: DataFrame, window: int, anchors: int) ->
 
 
 def _looked_up(index: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item, diag, ipos): postings of rarest terms, adjusted by their place in the item."""
-    anchors = items.select("item", F.explode(F.array_distinct(F.flatten("looks"))).alias("t")).select("item", "t.ipos", "t.term")
-    return index.join(sized(materialize(anchors, "anchors")), "term").select("doc_id", "text_key", "item", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos")
+    """(doc_id, text_key, item, diag, ipos): postings of rarest terms, adjusted by their place in the item.
+
+    Terms of a large benchmark are joined by ``key_join``: those with very many postings by broadcast, others merged.
+    """
+    spots = items.select("item", F.explode(F.array_distinct(F.flatten("looks"))).alias("t")).select("t.term", "t.cf", F.struct("item", "t.ipos").alias("at"))
+    spots = materialize(spots.where("cf > 0").groupBy("term").agg(F.max("cf").alias("cf"), F.collect_list("at").alias("at")), "anchors")
+    found = index.join(F.broadcast(spots), "term") if small(spots, F.size("at")) else key_join(index, spots, ["term"], "cf")
+    return found.select("doc_id", "text_key", "pos", F.inline("at")).select("doc_id", "text_key", "item", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos")
 
 
 def _all_found(hits: str) -> Column:
@@ -92,26 +106,40 @@ def proximity_matches(index: DataFrame, items: DataFrame, slack: int = 26, windo
 
 
 def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, text_key, item, item_ids, hits): hits are the document's word places inside an occurring window of the item."""
+    """(doc_id, text_key, item, item_ids, base, flags, need): stretches in which a window of the item occurs.
+
+    ``flags``: a character for each word from place ``base`` on, 1 where it is the item's word; the window occurs
+    wherever ``need`` ones follow each other. Texts without a candidate stay out of the shuffle by a filter of fixed
+    size; the others are compared stretch by stretch, so that no row holds more than ``STRETCH`` words and an item's.
+    """
     looked = materialize(_anchored(items, index, window, anchors), "items")
-    small = sized(looked, values=F.size("words"))
+    looked_up = sized(looked, values=F.size("words"))
     lines = _looked_up(index, looked).groupBy("doc_id", "text_key", "item", "diag").agg(F.collect_set("ipos").alias("spots"))
-    maybe = lines.join(small.select("item", "looks"), "item").where(_all_found("spots"))
-    by_doc = materialize(maybe.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "diag")).alias("lines")), "candidates")
-    same = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_key") == F.col("c.text_key")]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text")).alias("d")
-    both = texts.join(sized(by_doc, values=F.size("lines")).alias("c"), same).select("d.doc_id", "d.text_key", words("d.text").alias("words"), "lines")
-    # only the stretch of the document that the item would cover goes on
+    maybe = lines.join(looked_up.select("item", "looks"), "item").where(_all_found("spots"))
+    maybe = materialize(maybe.select("doc_id", "text_key", "item", "diag", F.floor(F.greatest("diag", F.lit(0)) / STRETCH).cast("int").alias("nth")), "candidates")
     longest = looked.agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
-    stretch = F.transform("lines", lambda x: F.struct(x["item"].alias("item"), x["diag"].alias("diag"), F.slice("words", F.greatest(x["diag"], F.lit(0)) + 1, F.lit(longest)).alias("part")))
-    rows = both.select("doc_id", "text_key", F.explode(stretch).alias("x")).select("doc_id", "text_key", "x.*").join(small.select("item", F.col("words").alias("want"), "m", "item_ids"), "item")
+    texts = may_match(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text"), maybe, ["doc_id", "text_key"])
+    split = texts.select("doc_id", "text_key", words("text").alias("words"))
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRETCH)), lambda a: F.slice("words", a + 1, STRETCH + longest))
+    parts = split.select("doc_id", "text_key", F.posexplode(cuts).alias("nth", "part"))
+    key = ["doc_id", "text_key", "nth"]
+    both = may_match(parts, maybe, key).alias("p").join(maybe.hint("merge").alias("c"), reduce(and_, (F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key)))
+    rows = both.select("p.doc_id", "p.text_key", "part", "c.nth", "item", "diag").join(looked_up.select("item", F.col("words").alias("want"), "m", "item_ids"), "item")
+    base = F.greatest(F.col("diag"), F.lit(0))
     skip = F.greatest(-F.col("diag"), F.lit(0))
-    need = F.least("m", F.lit(window))
-    flags = F.array_join(F.zip_with(F.slice("part", F.lit(1), F.col("m") - skip), F.slice("want", skip + 1, F.col("m")), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
-    rows = rows.withColumns({"flags": flags, "need": need, "base": F.greatest("diag", F.lit(0))}).where(F.length("flags") >= F.col("need"))
-    starts = F.filter(F.sequence(F.lit(0), F.length("flags") - F.col("need")), lambda s: F.substring(F.col("flags"), s + 1, F.col("need")) == F.repeat(F.lit("1"), F.col("need")))
-    hits = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(F.col("base") + s, F.col("base") + s + F.col("need") - 1))))
-    return rows.withColumn("starts", starts).where(F.size("starts") > 0).select("doc_id", "text_key", "item", "item_ids", hits.alias("hits"))
+    own = F.slice("part", base - F.col("nth") * STRETCH + 1, F.col("m") - skip)
+    flags = F.array_join(F.zip_with(own, F.slice("want", skip + 1, F.size(own)), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+    rows = rows.select("doc_id", "text_key", "item", "item_ids", base.alias("base"), flags.alias("flags"), F.least("m", F.lit(window)).alias("need"))
+    return rows.where(F.contains("flags", F.repeat(F.lit("1"), F.col("need"))))
+
+
+def hit_places(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, pos) of every document word inside an occurrence, each once."""
+    n = F.col("need")
+    ones = lambda s: F.substring(F.col("flags"), s + 1, n) == F.repeat(F.lit("1"), n)
+    starts = F.filter(F.sequence(F.lit(0), F.length("flags") - n), ones)
+    places = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.col("base") + s, F.col("base") + s + n - 1))))
+    return found.select("doc_id", "text_key", F.explode(places).alias("pos")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, near: bool = False) -> DataFrame:
@@ -125,28 +153,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     digested as those of n_items are.
     """
     items = materialize(benchmark_items(benchmark), "benchmark")
-    vocabulary = materialize(items.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct(), "vocabulary")
-    index = build_index(docs, vocabulary)
-    found = phrase_matches(docs, index, items, window)
-    hit = found.groupBy("doc_id", "text_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"))
-    hit = materialize(hit, "hits")
+    index = build_index(docs, items.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct())
+    found = materialize(phrase_matches(docs, index, items, window), "found")
+    key = ["doc_id", "text_key"]
+    listed = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    n_hit = hit_places(found).groupBy(key).agg(F.count("*").alias("n_hit"), F.lit(None).cast("array<string>").alias("ids"), F.lit(None).cast("array<string>").alias("near_ids"))
+    ids = found.groupBy(key).agg(F.lit(None).cast("long").alias("n_hit"), listed("item_ids").alias("ids"), F.lit(None).cast("array<string>").alias("near_ids"))
+    every = n_hit.unionByName(ids)
+    if near:
+        ids_of = sized(items.select("item", F.col("item_ids").alias("near_ids")), values=F.size("near_ids"))
+        close = proximity_matches(index, items, window=window).join(ids_of, "item").groupBy(key).agg(listed("near_ids").alias("near_ids"))
+        every = every.unionByName(close, allowMissingColumns=True)
+    hit = materialize(every.groupBy(key).agg(F.max("n_hit").alias("n_hit"), F.max("ids").alias("ids"), F.max("near_ids").alias("near_ids"), F.lit(1).alias("rows")), "hits")
     rows = index.where(F.col("term") == closing()).select("doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
-    same = [F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("r.text_key") == F.col("h.text_key")]
-    out = rows.alias("r").join(sized(hit, values=F.size("ids")).alias("h"), same, "left")
+    out = key_left_join(rows, hit, key, "rows")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    more = []
-    if near:
-        ids_of = items.select("item", "item_ids")
-        close = proximity_matches(index, items, window=window).join(sized(ids_of, values=F.size("item_ids")), "item")
-        close = close.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("near_ids"))
-        again = [F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("r.text_key") == F.col("p.text_key")]
-        out = out.join(sized(materialize(close, "near"), values=F.size("near_ids")).alias("p"), again, "left")
-        near_ids = F.coalesce("near_ids", F.array().cast("array<string>"))
-        more = [F.size(near_ids).cast("long").alias("n_near"), F.sha2(F.array_join(near_ids, ","), 256).alias("near_sha256")]
+    ids, near_ids = (F.coalesce(c, F.array().cast("array<string>")) for c in ("ids", "near_ids"))
+    more = [F.size(near_ids).cast("long").alias("n_near"), F.sha2(F.array_join(near_ids, ","), 256).alias("near_sha256")] if near else []
     return out.select(
-        "r.doc_id",
-        "r.text_key",
+        "doc_id",
+        "text_key",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

@@ -36,9 +36,17 @@ x as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[p + 1:p
 l as (select distinct n from x), dw as (select doc_id, n, p, array_to_string(w[p + 1:p + n], ' ') as g from d cross join l cross join unnest(range(0, len(w) - n + 1)) as t(p)),
 m as (select doc_id, p, n, item_id from dw join x using (n, g)),
 h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from m) group by 1),
-k as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by 1)
+k as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by 1),
+o as (select doc_id, unnest(w) as t, unnest(range(0, len(w))) as p from d), cf as (select t, count(*) as cf from o group by 1),
+j as (select item_id, least(len(w), 13) as n, len(w) as m, unnest(w) as t, unnest(range(0, len(w))) as ip from i where len(w) > 0),
+v as (select item_id, s, t, ip, n, row_number() over (partition by item_id, s order by coalesce(cf, 0), ip) as r from j left join cf using (t) cross join unnest(range(0, m - n + 1)) as u(s) where ip >= s and ip < s + n),
+a as (select item_id, s, t, ip, least(n, 3) as need from v where r <= 3),
+y as (select doc_id, item_id, s, ip, need, p - ip as g from o join a using (t)),
+z as (select e.doc_id, e.item_id from y e join y f on e.doc_id = f.doc_id and e.item_id = f.item_id and e.s = f.s and f.g between e.g and e.g + 26 group by e.doc_id, e.item_id, e.s, e.g, e.need having count(distinct f.ip) = e.need),
+c as (select doc_id, count(distinct item_id) as n_near, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as near_ids from z group by 1)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join h using (doc_id) left join k using (doc_id)"""
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0) as n_near, sha256(coalesce(near_ids, '')) as near_sha256
+  from d left join h using (doc_id) left join k using (doc_id) left join c using (doc_id)"""
 
 LINES = """with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 w as (select doc_id, i, array_to_string(l[i + 1:i + 3], chr(10)) as g from d cross join unnest(range(0, len(l) - 2)) as t(i)),

@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("set_a", "set_b")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("root", "set_a", "set_b")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
-
-
-def op9_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True).drop("text_key")
 
 
@@ -70,4 +66,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op9_decontamination_near, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_license_scan, op4_secret_scan, op5_quality, op6_jaccard_join, op7_exact_dedup, op8_sharding, op9_decontamination, op10_line_dedup)}

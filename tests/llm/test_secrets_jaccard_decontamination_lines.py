@@ -235,6 +235,30 @@ def test_decontamination_edges(spark, docs, no_docs, clashing):
     assert Counter(pairs(X.decontaminate(docs, items.limit(0)), *HITS)) == contamination_expected(pairs(docs, "doc_id", "text"), [])
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_decontamination_of_large_benchmarks_and_long_texts(spark, monkeypatch, most):
+    """Both sides of the size check, and texts of many stretches with a passage across their borders."""
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(X, "STRETCH", 16)
+    rng = random.Random(6)
+    items = [" ".join(f"i{k}w{rng.randrange(40)}" for _ in range(rng.randrange(1, 60))) for k in range(6)]
+    rows = []
+    for i in range(40):
+        w = [f"x{rng.randrange(50)}" for _ in range(rng.randrange(120))]
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items).split()
+            a = rng.randrange(len(own))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own[a : a + rng.randrange(1, 30)]
+        rows.append((i, " ".join(w)))
+    rows += [(90, " ".join([items[0]] * 30)), (None, items[1]), (None, items[2])]
+    bench = list(enumerate(items))
+    out = X.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), near=True).cache()
+    assert Counter(pairs(out, *HITS)) == contamination_expected(rows, bench)
+    near = near_expected(rows, bench)
+    assert Counter(pairs(out, "doc_id", "n_near")) == Counter((d, len(near[d, t])) for d, t in rows)
+
+
 def test_proximity(spark):
     item = [f"t{i}" for i in range(13)]
     near = " ".join([*item[:5], "or", *item[5:9], "and", "so", *item[9:]])
@@ -289,7 +313,7 @@ def test_op9_near_whole(spark, sf_dir):
     docs, bench = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
     near = near_expected(docs, bench)
     want = Counter((d, len(n), sha(",".join(sorted(map(str, n))))) for d, t in docs for n in [near[d, t]])
-    out = QUERIES["op9_decontamination_near"](spark, sf_dir).cache()
+    out = QUERIES["op9_decontamination"](spark, sf_dir).cache()
     assert Counter(pairs(out, "doc_id", "n_near", "near_sha256")) == want
     assert Counter(pairs(out, *HITS)) == contamination_expected(docs, bench)
 
