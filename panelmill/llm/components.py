@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm._common import materialize, remove
+from panelmill.llm._common import key_join, materialize, remove
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node in ``edges`` (u, v: long); root is the least node reachable.
 
     Large-star then small-star in each round, until the edge table no longer changes; rounds grow with the
-    logarithm of the longest path. Minima are combined before each shuffle, and every round is written to the
+    logarithm of the longest path. Minima are combined before each shuffle, hubs are joined by broadcast (``key_join``), and every round is written to the
     shared folder, so a lost executor costs at most one round. Null ends and loops are ignored; an empty table
     gives an empty table. Raises when ``most_rounds`` don't suffice.
     """
@@ -21,14 +21,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u")
+        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("k")), "low")
+        large = key_join(both, low, ["u"], "k", every=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large")
+        floor = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), "floor")
+        small = key_join(large, floor, ["u"], "k", every=True)
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(after, "cc")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        remove(now)
+        remove(now, low, large, floor)
         now = after
         if mark == seen:
             break

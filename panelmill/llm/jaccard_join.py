@@ -7,8 +7,9 @@ three orders: rare tokens first, and two unrelated pseudo-random orders. The ste
 1. equal sets fold into a class, so exact copies cost one member; a class is told by 128 bits of its set;
 2. tokens are counted in hash buckets; tokens found frequent beforehand are put last in the rare-first order (any order
    is sound), so that no bucket holds a hot token's whole list;
-3. a class's home is the star of the least class that shares one of its rare-first prefix tokens; stars are cut into
-   blocks of bounded size, and two stars meet only if a prefix token lies in both: no closure over chains of candidates;
+3. a class's home is the star of the least class that shares one of its rare-first prefix tokens, after one more step
+   from star to star; stars are cut into blocks of bounded size, and two stars meet only if a prefix token lies in both:
+   no closure over chains of candidates;
 4. a pair of blocks intersects the prefix filters of all orders pair by pair, verifies what passes on the whole sets, and
    reports a spanning forest and link counts, never the pairs;
 5. components of the links give the result.
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelmill.llm._common import key_join, materialize, may_match, mix, remove, slices, text_bytes, text_words
+from panelmill.llm._common import key_join, key_left_join, materialize, may_match, mix, remove, slices, text_bytes, text_words
 from panelmill.llm.components import connected_components
 
 #: Bytes that part words: blank and \x09-\x0D.
@@ -391,13 +393,12 @@ def _fetch_sets(docs: DataFrame, clashes: np.ndarray, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class_id long, set binary")
 
 
-def _star_pairs(held: DataFrame) -> DataFrame:
-    """(u, nu, v, nv): stars with a prefix token in common and their numbers of blocks, from (token, label, blocks).
+def _star_pairs(spots: DataFrame) -> DataFrame:
+    """(u, nu, v, nv): stars with a prefix token in common and their numbers of blocks, from distinct (token, label, blocks).
 
     The stars of a token are dealt to slices of about ``PAIRED``, and slices meet pair by pair, so that no row holds more
     stars than two slices do.
     """
-    spots = held.select("token", "label", "blocks").distinct()
     several = materialize(spots.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "several")
     dealt = key_join(spots, several, ["token"], "k").withColumn("cuts", F.ceil(F.col("k") / PAIRED).cast("int")).withColumn("cut", F.pmod(F.xxhash64("label", "token"), F.col("cuts")).cast("int"))
     met = dealt.select("token", "label", "blocks", "cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
@@ -407,36 +408,54 @@ def _star_pairs(held: DataFrame) -> DataFrame:
     return met.select(F.inline(F.flatten(F.transform("s", pair)))).distinct()
 
 
-def _block(label: str, part: str) -> F.Column:
+def _block(label: str, part: str) -> Column:
     return F.xxhash64(F.col(label), F.col(part))
 
 
 def _numbered(classes: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Homes (class_id, label, blocks, block, least, times) of classes that share a prefix token, and block pairs (block, i, j)."""
-    star = held.groupBy("class_id").agg(F.min("pivot").alias("label"))
-    placed = materialize(classes.join(star, "class_id"), "placed")
+    """Homes (class_id, block, least, times) of classes that share a prefix token, and block pairs (block, i, j).
+
+    A star that shares a token with stars of lesser labels joins the least of them, once: a group of near copies then
+    is one star, or a few, and a chain of candidates still makes stars of a few links each.
+    """
+    first = held.groupBy("class_id").agg(F.min("pivot").alias("label"))
+    placed = materialize(classes.join(first.hint("merge"), "class_id"), "placed")
+    spots = held.select("token", "class_id").join(placed.select("class_id", "label").hint("merge"), "class_id").select("token", "label").distinct()
+    spots = materialize(spots, "spots")
+    ends = materialize(spots.groupBy("token").agg(F.min("label").alias("low"), F.count("*").alias("k")).where("k > 1"), "ends")
+    met = materialize(key_join(spots, ends, ["token"], "k").select("token", "label", "low"), "met")
+    hooks = met.groupBy("label").agg(F.min("low").alias("to"), F.count("*").alias("spots")).where("to < label")
+    hooks = materialize(hooks.join(placed.groupBy("label").agg(F.count("*").alias("k")).hint("merge"), "label"), "hooks")
+    hooked = lambda df, weight: key_left_join(df, hooks.select("label", "to", weight), ["label"], weight).withColumn("label", F.coalesce("to", "label")).drop("to", weight)
+    joined = materialize(hooked(placed, "k"), "joined")
+    spots = materialize(hooked(met.select("token", "label"), "spots").distinct(), "hooked")
+
     per = F.least(F.greatest(F.lit(BLOCK_SETS), (2 * F.sqrt("k")).cast("int")), F.lit(BLOCK_SETS_MOST))
-    stars = placed.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
+    stars = joined.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
     stars = materialize(stars.select("label", "k", F.greatest(F.ceil(F.col("k") / per), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")), "stars")
-    homes = key_join(placed, stars, ["label"], "k").withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("block", _block("label", "part"))
-    homes = materialize(homes.select("class_id", "label", "blocks", "block", "least", "times"), "homes")
-    across = _star_pairs(held.join(homes.select("class_id", "label", "blocks").hint("merge"), "class_id"))
+    homes = key_join(joined, stars, ["label"], "k", every=True).withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("block", _block("label", "part"))
+    homes = materialize(homes.select("class_id", "block", "least", "times"), "homes")
+    seen = spots.groupBy("label").agg(F.count("*").alias("w"))
+    seen = materialize(stars.select("label", "blocks").join(seen.hint("merge"), "label"), "seen")
+    across = _star_pairs(key_join(spots, seen, ["label"], "w", every=True).select("token", "label", "blocks"))
     parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     far = across.select("u", "v", "nv", parts("nu").alias("pu")).select("u", "pu", "v", parts("nv").alias("pv")).select(_block("u", "pu").alias("a"), _block("v", "pv").alias("b"))
     near = stars.where("k > 1").select("label", "blocks", parts("blocks").alias("p")).select("label", "p", F.explode(F.sequence("p", F.col("blocks") - 1)).alias("q")).select(_block("label", "p").alias("a"), _block("label", "q").alias("b"))
     tasks = far.unionByName(near).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    return homes, tasks.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    tasks = materialize(tasks.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j"), "tasks")
+    remove(placed, spots, ends, met, hooks, joined, stars, seen)
+    return homes, tasks
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, set_a, set_b.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, root, set_a, set_b.
 
     A set: the distinct ``width``-word shingles (a shorter text: its whole word sequence); texts without words, and
     nulls, have an empty set and link with nothing. Sets link when 100 * intersection >= percent * union. The component
     id is the least doc_id that links reach (a row without partner: its own); n_links counts the linked rows, exact
     copies included. Repeated rows are rows of their own; a null doc_id takes part, and is no component id unless
-    its component has no other. set_a and set_b are 128 bits of the set (null for an empty one). Other columns are
-    ignored; an empty table gives an empty one.
+    its component has no other. root tells components apart, and set_a and set_b are 128 bits of
+    the set (all null for an empty one). Other columns are ignored; an empty table gives an empty one.
     """
     parts = materialize(_members(docs, width), "sets")
     members = parts.where("kind = 0").select("doc_id", "n", "a", "b")
@@ -467,16 +486,35 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     rows = homes.select("class_id", "block", "times").join(tasks.hint("merge"), "block").withColumnRenamed("block", "side")
     dealt = rows.join(sets.hint("merge"), "class_id").join(rare.hint("merge"), "class_id").select("i", "j", "side", "class_id", "times", "set", "rare")
     found = materialize(_verify(dealt.repartition("i", "j").sortWithinPartitions("i", "j"), percent), "links")
-    remove(prefixes, tied, held)
+    remove(prefixes, tied, held, homes, tasks)
 
     roots = connected_components(found.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
     number = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     special = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(number, "class_id", "left").where("root is not null or times > 1")
     special = materialize(special.select("class_id", F.coalesce("root", "class_id").alias("root"), "least", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")), "special")
     lowest = special.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = materialize(special.join(lowest, "root").select("class_id", "times", "component_id", "links"), "known")
+    known = materialize(special.join(lowest, "root").select("class_id", "times", "component_id", "links", "root"), "known")
     remove(found, classes, special)
-    part = key_join(members, known, ["class_id"], "times").select("doc_id", "n", "component_id", "links", "a", "b")
-    alone = may_match(members, known, ["class_id"]).join(known.select("class_id").hint("merge"), "class_id", "left_anti").unionByName(may_match(members, known, ["class_id"], without=True))
-    out = part.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).alias("links"), "a", "b"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("links").cast("long").alias("n_links"), F.col("a").alias("set_a"), F.col("b").alias("set_b"))
+    out = key_left_join(members, known, ["class_id"], "times")
+    alone = F.col("links").isNull()
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("root", "class_id").alias("root"),
+        F.col("a").alias("set_a"),
+        F.col("b").alias("set_b"),
+    )
+
+
+def with_set_keys(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` and set_a, set_b: 128 bits of each text's set (null for an empty one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets, off = shingle_sets(batch.column("text"), width)
+            none = np.diff(off) == 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, mask=none) for k in set_keys(sets, off, FIRST_KEY_BITS))], names=[*batch.schema.names, "set_a", "set_b"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType())]))
