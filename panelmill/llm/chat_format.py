@@ -67,12 +67,20 @@ LAYOUTS = (
 )
 
 
+_MARK = re.compile(r"[.\[\]\\]")
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def field_paths(value: object, at: str = "") -> frozenset[str]:
-    """All nested field paths of a parsed record; ``[]`` stands for the elements of a list."""
+    """All nested field paths of a parsed record; ``[]`` stands for the elements of a list.
+
+    Marks that join paths are escaped in keys, so that a key ``a.b`` is no ``b`` within ``a``.
+    """
     out: set[str] = set()
     if isinstance(value, dict):
         for k, v in value.items():
-            path = f"{at}.{k}" if at else str(k)
+            name = _MARK.sub(r"\\\g<0>", str(k))
+            path = f"{at}.{name}" if at else name
             out.add(path)
             out |= field_paths(v, path)
     elif isinstance(value, list):
@@ -96,7 +104,8 @@ def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
 
 
 def _text(value: object) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _HALF.sub("\ufffd", text)
 
 
 def _at(value: object, path: str) -> object:
@@ -106,9 +115,16 @@ def _at(value: object, path: str) -> object:
 
 
 def to_turns(record: object, layout: Layout) -> list[tuple[str, str]]:
-    """Canonical turns of one record; optional fields that are absent or empty give none."""
+    """Canonical turns of one record; optional fields that are absent or empty give none.
+
+    The fingerprint joins the fields of all elements of a list; an element that lacks one of its own makes the record
+    one without a layout (no turns).
+    """
     out = []
+    due = {path.split(".")[0] for role, path in layout.turns if path not in layout.optional} | {role[1:].split(".")[0] for role, _ in layout.turns if role[0] == "$"}
     for item in _at(record, layout.each) or [] if layout.each else [record]:
+        if not isinstance(item, dict) or not due <= item.keys():
+            return []
         for role, path in layout.turns:
             text = _text(_at(item, path))
             if not text and path in layout.optional:
@@ -121,8 +137,9 @@ def to_turns(record: object, layout: Layout) -> list[tuple[str, str]]:
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """One row per turn: every other column of ``records``, then fingerprint, layout, part, role, text.
 
-    A record without a registered fingerprint, or a null, empty or broken one, gives one row with null layout, part,
-    role and text (its fingerprint shows which shape is missing); a record whose list is empty gives one such row too.
+    A record without a registered fingerprint, or a null, empty, broken or too deeply nested one, gives one row with null
+    layout, part, role and text (its fingerprint shows which shape is missing); a record whose list is empty, or has an
+    element without a field that the layout needs, gives one such row too. Unpaired surrogates become U+FFFD.
     Columns named like the new ones are replaced. Repeated records give repeated turns.
     """
     new = ["fingerprint", "layout", "part", "role", "text"]
@@ -138,9 +155,9 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[L
             for i, raw in enumerate(batch.column(record).to_pylist()):
                 try:
                     value = json.loads(raw) if raw else None
-                except ValueError:
-                    value = None
-                paths = field_paths(value)
+                    paths = field_paths(value)
+                except (ValueError, RecursionError):  # broken, or nested too deeply
+                    value, paths = None, frozenset()
                 mark = prints.get(paths)
                 if mark is None:
                     mark = prints[paths] = fingerprint(paths)
