@@ -95,9 +95,10 @@ class Scanner:
         """(label, first word, end word) of every place of every phrase; ``line``: the words, blank-joined and blank-led."""
         out = []
         for phrase, label in self.phrases:
-            want, at = b" " + phrase.encode() + b" ", -1
+            want, at, seen, first = b" " + phrase.encode() + b" ", -1, 0, 0
             while (at := line.find(want, at + 1)) >= 0:
-                first = line.count(b" ", 0, at)
+                first += line.count(b" ", seen, at)  # words are counted on from the place before
+                seen = at
                 out.append((label, first, first + phrase.count(" ") + 1))
         return out
 
@@ -111,13 +112,15 @@ class Scanner:
         out = []
         for i, own in starts.items():
             label, notice = self.notices[i]
-            places = set()
-            for a, edits in own:  # each seed's own window, to its last blank: a place of the seed fits in
+            places, seen, words = set(), 0, 0
+            for a, edits in sorted(own):  # each seed's own window, to its last blank: a place of the seed fits in
                 m = patterns[i].search(line, a, line.rfind(" ", a, a + len(notice) + 2 * edits + 1) + 1)
                 if m is None or any(f" {other} " in f" {m[0].strip(' ')} " for other in OTHERS.get(label, ())):
                     continue
                 body = m[0].strip(" ")
-                first = line.count(" ", 0, m.start() + len(m[0]) - len(m[0].lstrip(" "))) - 1
+                words += line.count(" ", seen, a)
+                seen = a
+                first = words + line.count(" ", a, m.start() + len(m[0]) - len(m[0].lstrip(" "))) - 1
                 places.add((sum(m.fuzzy_counts), first, first + body.count(" ") + 1))
             taken: list[tuple[int, int, int]] = []
             for edits, first, end in sorted(places):  # of overlapping places the one of least edits
