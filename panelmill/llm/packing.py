@@ -185,8 +185,15 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
+PACKED = ["pid", "length", "sequence_id", "offset", "part", "part_sequences", "part_bound", "again"]
+
+
 def _pack_round(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
-    """Pack rows (pid, length) dealt to ``parts`` at random; gap rows come back with sequence null."""
+    """Pack rows (pid, length) dealt to ``parts`` at random: see ``pack`` for the columns.
+
+    A part that uses more sequences than its bound releases those that aren't full (``again``); it then counts as two
+    parts, the full sequences and the released ones, each with a bound of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("part").to_numpy(), b.column("pid").to_numpy(), b.column("length").to_numpy()) for b in batches if b.num_rows]
@@ -202,40 +209,49 @@ def _pack_round(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFr
             n, least = int(bins.max()) + 1, lower_bound(lengths, capacity)
             filled = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
             again = (filled[bins] < capacity) if n > least else np.zeros(len(bins), bool)
-            base = (turn * parts_base + p) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(base + bins, pa.int64()), pa.array(offsets, pa.int64()), pa.array(again), pa.array(np.full(len(ids), n - least), pa.int64())], names=["pid", "length", "sequence_id", "offset", "again", "gap"])
+            full = int((filled == capacity).sum())
+            used, bound = (np.where(again, n - full, full), np.where(again, lower_bound(lengths[again], capacity), full)) if n > least else (np.full(len(bins), n), np.full(len(bins), least))
+            base = turn * parts_base + p
+            columns = (ids, lengths, (base << 32) + bins, offsets, 2 * base + again, used, bound)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(again)], names=PACKED)
 
     parts_base = 1 << 20
     dealt = rows.select(F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(parts)).alias("part"), "pid", "length").repartition(parts, "part")
-    return dealt.mapInArrow(run, "pid long, length long, sequence_id long, offset long, again boolean, gap long")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in PACKED[:-1]) + ", again boolean")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 200_000, most_rounds: int = 4) -> DataFrame:
-    """(pid, sequence_id, offset) for every row of ``pieces`` (pid: unique long, length).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 200_000) -> DataFrame:
+    """(pid, sequence_id, offset, part, part_sequences, part_bound) for every row of ``pieces`` (pid: unique long, length).
 
-    Full pieces are sequences of their own and leave the search at once. A part holds about ``rows_per_part`` narrow
-    rows at any input size. Rounds end when no part has a gap, when pooling the rest no longer lowers the number of
-    sequences, or after ``most_rounds``; whatever is then left keeps its last valid packing.
+    Full pieces are sequences of their own (part -1, one sequence, bound 1) and leave the search at once. A part holds
+    about ``rows_per_part`` narrow rows at any input size. What the parts with a gap release is pooled, dealt anew and
+    packed again, for as long as that lowers the number of sequences; a round that doesn't is discarded. part_sequences
+    and part_bound are the certificate: the sequences of the row's part in the result, and its lower bound.
     """
-    full = pieces.where(F.col("length") == capacity).select("pid", (-F.col("pid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = lambda n: F.lit(n).cast("long")
+    full = pieces.where(F.col("length") == capacity).select("pid", (-F.col("pid") - 1).alias("sequence_id"), one(0).alias("offset"), one(-1).alias("part"), one(1).alias("part_sequences"), one(1).alias("part_bound"))
     rest = pieces.where(F.col("length") < capacity).select("pid", "length")
-    done = [full]
-    for turn in range(most_rounds):
-        n = rest.count()
-        parts = max(1, -(-n // rows_per_part))
+    done, held, turn = [full], None, 0
+    placed = lambda df: df.select(full.columns)
+    while True:
+        parts = max(1, -(-rest.count() // rows_per_part))
         packed = materialize(_pack_round(rest, parts, turn, capacity), "packed")
-        again = packed.where("again")
-        bins = again.agg(F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        can = turn + 1 < most_rounds and parts > 1 and bins[0] > -(-bins[1] // capacity)
-        done.append((packed.where("not again") if can else packed).select("pid", "sequence_id", "offset"))
-        if not can:
+        sums = packed.groupBy("part", "again").agg(F.first("part_sequences").alias("n"), F.sum("length").alias("tokens"))
+        n, free, tokens = sums.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum(F.when(F.col("again"), F.col("n"))), F.sum(F.when(F.col("again"), F.col("tokens")))))).first()
+        if held is not None and n >= held[1]:
+            done.append(placed(held[0]))
+            break
+        if parts == 1 or free <= -(-tokens // capacity):
+            done.append(placed(packed))
             break
-        rest = again.select("pid", "length")
+        done.append(placed(packed.where("not again")))
+        held = packed.where("again"), free
+        rest, turn = held[0].select("pid", "length"), turn + 1
     return reduce(DataFrame.union, done)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = 2) -> DataFrame:
-    """``token_pieces`` with the sequence and place of each piece: ..., ids, sequence_id, offset.
+    """``token_pieces`` with the sequence and place of each piece and the certificate of its part: ..., ids, and ``pack``'s.
 
     Sequences are gapless from offset 0. See ``token_pieces`` and ``pack``.
     """
