@@ -232,15 +232,30 @@ def text_words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[n
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def _terms(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms += place.view(np.uint64) << np.uint64(9)
+    return mix(terms)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word: a sum of mixed (byte, place) terms, mixed again with the length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
+    if len(starts) and lengths.max() > SEGMENT:  # very long words, piece by piece: the terms add up
+        out = np.zeros(len(starts), np.uint64)
+        few = lengths <= SEGMENT
+        out[few] = word_hashes(raw, starts[few], ends[few])
+        for i in np.flatnonzero(~few).tolist():
+            total = np.zeros(1, np.uint64)
+            for a in range(0, int(lengths[i]), SEGMENT):
+                part = raw[starts[i] + a : min(starts[i] + a + SEGMENT, ends[i])]
+                total += _terms(part, np.arange(a, a + len(part), dtype=np.int64)).sum(dtype=np.uint64)
+            out[i] = mix(total + lengths[i : i + 1].astype(np.uint64) * _MULT)[0]
+        return out
     local = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(local, lengths)
-    terms = raw[np.repeat(starts, lengths) + place].astype(np.uint64)
-    terms += np.uint64(1)
-    terms += place.view(np.uint64) << np.uint64(9)
-    terms = mix(terms)
+    terms = _terms(raw[np.repeat(starts, lengths) + place], place)
     return mix(np.add.reduceat(terms, local) + lengths.astype(np.uint64) * _MULT)

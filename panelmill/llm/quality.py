@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.llm import _common
 from panelmill.llm._common import slices, text_bytes, word_bounds, word_hashes
 
 PASSAGE = 64
 HIDDEN, GATE = 32, 16
-#: The fit uses at most this many labelled documents (those of least hash), and of each this many passages, evenly spaced.
-FIT_DOCS, FIT_PASSAGES = 3000, 32
+#: The fit uses at most this many labelled documents (those of least hash), with all their passages.
+FIT_DOCS = 3000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -40,8 +41,34 @@ WIDTH = N_CLASS * N_CLASS + 6
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Descriptions of all passages of all texts, and each text's number of passages (one, of zeros, without words)."""
+    """Descriptions of all passages of all texts, and each text's number of passages (one, of zeros, without words).
+
+    A long text is described segment by segment, each of whole passages; a word of over four segments is cut.
+    """
     raw, off = text_bytes(column)
+    if len(off) != 2 or len(raw) <= 2 * _common.SEGMENT:
+        return _described(raw, off)
+    out, a = [], 0
+    while a < len(raw):
+        size = _common.SEGMENT
+        while True:
+            b = next(_common.segments(raw[a : a + size + 3 * _common.SEGMENT], np.array([0, min(size + 3 * _common.SEGMENT, len(raw) - a)]), _IS_WORD, size))[1]
+            part = raw[a : a + b]
+            starts = word_bounds(part, np.array([0, b]), _IS_WORD)[0]
+            whole = len(starts) // PASSAGE * PASSAGE
+            if whole or a + b >= len(raw):
+                break
+            size *= 2  # fewer words than a passage: look further
+        end = b if a + b >= len(raw) or whole == len(starts) else int(starts[whole])
+        x, pieces = _described(part[:end], np.array([0, end]))
+        if len(starts):
+            out.append(x)
+        a += end
+    x = np.concatenate(out) if out else np.zeros((1, WIDTH), np.float32)
+    return x, np.array([len(x)])
+
+
+def _described(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     starts, ends, owner = word_bounds(raw, off, _IS_WORD)
     per = np.bincount(owner, minlength=n)
@@ -110,6 +137,21 @@ class Model:
         return self.forward(self.standard(x), pieces)["score"].astype(np.float64)
 
 
+def gradient(model: Model, x: np.ndarray, pieces: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the mean cross-entropy of bags by every weight."""
+    w, f, n = model.weights, model.forward(x, pieces), pieces
+    start = np.cumsum(n) - n
+    d = (f["score"] - y) / len(y)
+    dz = np.repeat(d[:, None] * w["score"], n, axis=0)
+    da = (f["h"] * dz).sum(1)
+    ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, start), n))
+    gated = ds[:, None] * w["attend"]
+    dp = gated * f["q"] * (1 - f["p"] ** 2)
+    dq = gated * f["p"] * f["q"] * (1 - f["q"])
+    dh = (f["a"][:, None] * dz + dp @ w["look"].T + dq @ w["gate"].T) * (1 - f["h"] ** 2)
+    return {"encode": x.T @ dh, "encode0": dh.sum(0), "look": f["h"].T @ dp, "look0": dp.sum(0), "gate": f["h"].T @ dq, "gate0": dq.sum(0), "attend": (f["p"] * f["q"]).T @ ds, "score": f["z"].T @ d, "score0": d.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, pieces: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Model:
     """Train on bags: passages end to end, passages per bag, and a label per bag. Without bags, every score is 1/2."""
     rng = np.random.default_rng(seed)
@@ -127,18 +169,7 @@ def fit(x: np.ndarray, pieces: np.ndarray, y: np.ndarray, epochs: int = 60, batc
             bags = order[at : at + batch]
             n = pieces[bags]
             rows = np.repeat(first[bags] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own = x[rows]
-            f = model.forward(own, n)
-            start = np.cumsum(n) - n
-            d = (f["score"] - y[bags]) / len(bags)
-            dz = np.repeat(d[:, None] * w["score"], n, axis=0)
-            da = (f["h"] * dz).sum(1)
-            ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, start), n))
-            gated = ds[:, None] * w["attend"]
-            dp = gated * f["q"] * (1 - f["p"] ** 2)
-            dq = gated * f["p"] * f["q"] * (1 - f["q"])
-            dh = (f["a"][:, None] * dz + dp @ w["look"].T + dq @ w["gate"].T) * (1 - f["h"] ** 2)
-            g = {"encode": own.T @ dh, "encode0": dh.sum(0), "look": f["h"].T @ dp, "look0": dp.sum(0), "gate": f["h"].T @ dq, "gate0": dq.sum(0), "attend": (f["p"] * f["q"]).T @ ds, "score": f["z"].T @ d, "score0": d.sum(keepdims=True)}
+            g = gradient(model, x[rows], n, y[bags])
             t += 1
             step = rate * (1 - epoch / epochs)
             for k, a in w.items():
@@ -154,10 +185,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_passages: int = FIT_PASSAGES) -> Model:
-    """Fit on at most ``fit_docs`` labelled, not held-out documents, with at most ``fit_passages`` passages of each.
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """Fit on at most ``fit_docs`` labelled, not held-out documents.
 
-    Several labels of one id count by their mean (1 from one half on); null labels and ids are left out.
+    Several labels of one id count by their mean (1 from one half on); null labels and ids are left out. Of several
+    texts with one id the least counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
@@ -165,16 +197,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_pass
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x, pieces = passages(b.column("text"))
-            first = np.cumsum(pieces) - pieces
-            picks = [f + np.unique(np.linspace(0, n - 1, min(n, fit_passages)).astype(int)) for f, n in zip(first.tolist(), pieces.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x[p].astype(np.float16).tobytes() for p in picks], pa.binary())], names=["doc_id", "y", "x"])
+            ends = np.cumsum(pieces).tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x[f:e].astype(np.float16).tobytes() for f, e in zip([0, *ends], ends)], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    bags = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows[:fit_docs]]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    one = own.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "y", "text")
+    rows = sorted(one.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: r.doc_id)  # at most fit_docs
+    bags = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
     if not bags:
         return fit(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([float(r.y) for r in rows[:fit_docs]]))
+    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([float(r.y) for r in rows]))
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,12 +2,14 @@ import hashlib
 import json
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panelmill.llm import _common
 from panelmill.llm import chat_format as C
 from panelmill.llm import exact_dedup as D
 from panelmill.llm import packing as P
@@ -237,6 +239,54 @@ def test_sharding_edges(spark, docs, no_docs, clashing):
     assert S.shard_documents(no_docs).count() == 0
 
 
+def test_broken_and_odd_records(spark):
+    """Deep nesting, unpaired surrogates, keys with dots, and lists whose elements lack fields."""
+    records = [
+        "[" * 100_000,
+        '{"a":' * 50_000,
+        r'{"prompt": "x\ud800y", "response": "\ud83d\ude00"}',
+        '{"chat": {}, "chat.prompt": "hello", "chat.reply": "yo"}',
+        '{"messages": [{"role": "user"}, {"content": "x"}]}',
+        '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
+        '{"chat": {"prompt": "p", "reply": "r"}}',
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "i int, record string")
+    got = {i: [(r.layout, r.role, r.text) for r in rs] for i, rs in groupby(sorted(C.canonical_turns(df).collect(), key=lambda r: (r.i, r.part or 0)), lambda r: r.i)}
+    none = [(None, None, None)]
+    assert [got[i] for i in (0, 1, 3, 4, 7)] == [none] * 5
+    assert got[2] == [("prompt_response", "user", "x\ufffdy"), ("prompt_response", "assistant", "\U0001f600")]
+    assert got[5] == [("messages", "user", "q"), ("messages", "assistant", "a")] and got[6] == [("nested_chat", "user", "p"), ("nested_chat", "assistant", "r")]
+
+
+def test_parts_are_certified(spark):
+    """The certificate counts every sequence once, bounds hold, and exchange between parts doesn't cost sequences."""
+    rng = np.random.default_rng(9)
+    sizes = [(i, int(n)) for i, n in enumerate(rng.choice([700, 400, 333, 350, 1024, 60], 4000))]
+    df = spark.createDataFrame(sizes, "pid long, length long")
+    got = rows(P.pack(df, rows_per_part=300))
+    parts, used = {}, defaultdict(set)
+    for g in got:
+        used[g["part"]].add(g["sequence_id"])
+        parts[g["part"]] = g["part_sequences"], g["part_bound"]
+    lengths = dict(sizes)
+    for part, (n, bound) in parts.items():
+        own = np.array([lengths[g["pid"]] for g in got if g["part"] == part])
+        assert (n == len(used[part]) if part >= 0 else (n, bound) == (1, 1)) and bound <= len(used[part])
+        assert part < 0 or bound <= P.lower_bound(own) <= n
+    total = len({g["sequence_id"] for g in got})
+    alone = sum(int(P.best_fit_decreasing(np.array([n for i, n in sizes if n < 1024 and i % 13 == k]))[0].max()) + 1 for k in range(13))
+    assert total - sum(n == 1024 for _, n in sizes) <= alone
+
+
+def test_dedup_with_hot_groups(spark, monkeypatch):
+    """Hot groups joined by broadcast, others merged, and a filter that lets through what has no partner."""
+    monkeypatch.setattr(_common, "HOT", 4)
+    monkeypatch.setattr(_common.may_match, "__defaults__", (64, False))
+    data = [(i, "Hot text" if i % 2 else f"text {i % 50}") for i in range(200)] + [(900 + i, f"own {i}") for i in range(40)]
+    assert dedup_got(D.exact_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3))) == dedup_expected(data)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 1000), max_size=50), st.integers(1, 9))
 def test_longest_first_is_near_even(sizes, shards):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -136,7 +137,81 @@ def test_passages_cover_every_word():
     assert np.allclose(np.expm1(x[:4, -6]), [64, 64, 64, 8]) and not x[4:6].any()
 
 
+def test_gradient_by_differences():
+    rng = np.random.default_rng(1)
+    w = {k: rng.normal(size=a.shape) * 0.3 for k, a in Q.fit(np.zeros((0, Q.WIDTH)), np.zeros(0, int), np.zeros(0)).weights.items()}
+    model = Q.Model(np.zeros(Q.WIDTH), np.ones(Q.WIDTH), w)
+    x, pieces, y = rng.normal(size=(9, Q.WIDTH)), np.array([2, 4, 3]), np.array([1.0, 0, 1])
+    loss = lambda: -np.mean(y * np.log(model.forward(x, pieces)["score"]) + (1 - y) * np.log(1 - model.forward(x, pieces)["score"]))
+    g = Q.gradient(model, x, pieces, y)
+    for k, a in w.items():
+        for at in rng.integers(0, a.size, 4).tolist():
+            was = a.flat[at]
+            a.flat[at] = was + 1e-5
+            up = loss()
+            a.flat[at] = was - 1e-5
+            assert abs((up - loss()) / 2e-5 - g[k].flat[at]) < 1e-6
+            a.flat[at] = was
+
+
+def forward_by_hand(model, bag):
+    """Score of one bag, passage by passage."""
+    w, h, s = model.weights, [], []
+    for x in bag:
+        e = np.tanh(x @ w["encode"] + w["encode0"])
+        gate = np.tanh(e @ w["look"] + w["look0"]) / (1 + np.exp(-(e @ w["gate"] + w["gate0"])))
+        h.append(e)
+        s.append(float(gate @ w["attend"]))
+    a = np.exp(s) / np.sum(np.exp(s))
+    z = sum(ai * e for ai, e in zip(a, h))
+    return 1 / (1 + np.exp(-(z @ w["score"] + w["score0"][0])))
+
+
+def test_scores_by_hand():
+    rng = np.random.default_rng(2)
+    w = {k: rng.normal(size=a.shape) * 0.3 for k, a in Q.fit(np.zeros((0, Q.WIDTH)), np.zeros(0, int), np.zeros(0)).weights.items()}
+    model = Q.Model(rng.normal(size=Q.WIDTH) * 0.1, np.ones(Q.WIDTH), w)
+    texts = [" ".join(rng.choice(["ab", "Cde", "f!", "1 2", "é"], 300)), "", "one", None]
+    x, pieces = Q.passages(pa.array(texts))
+    bags = np.split(model.standard(x), np.cumsum(pieces)[:-1])
+    assert np.allclose(model.scores(pa.array(texts)), [forward_by_hand(model, b) for b in bags])
+
+
+def test_long_texts_are_described_by_segments(monkeypatch):
+    rng = np.random.default_rng(3)
+    for text in (" ".join(rng.choice(["word", "Other", "x", "é 1"], 5000)), "a" * 3000 + " " + "b " * 400, " \n" * 900):
+        want = Q.passages(pa.array([text, ""]))
+        for size in (300, 1000):
+            monkeypatch.setattr(Q._common, "SEGMENT", size)
+            x, pieces = Q.passages(pa.array([text]))
+            monkeypatch.undo()
+            assert pieces[0] == want[1][0] and (size < 1000 and "aaa" in text or np.allclose(x, want[0][: len(x)]))
+
+
+def test_license_time_follows_the_hits():
+    t = []
+    for n in (20_000, 80_000):
+        line = b" mit license" * n + b" "
+        start = time.perf_counter()
+        assert len(S.Scanner().exact(line)) == n
+        t.append(time.perf_counter() - start)
+    assert t[1] < 12 * t[0]
+
+
 # pipeline
+def test_near_copies_with_shared_and_null_ids(spark, sf_dir):
+    """Rows that share an id are told apart by their sets."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    data = [(1, a), (1, b), (2, a + " end"), (None, b + " end"), (None, b + " fin"), (None, "c d e f g h"), (3, ""), (3, None), (4, "X y z"), (4, "x  Y z")]
+    docs = spark.createDataFrame([(*d, "en", "s", 1) for d in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    one = [k for k in got if k[0] == 4]
+    assert len(one) == 1 and got[one[0]] == 1
+    assert got - Counter(one) == Counter([(1, a), (1, b), (None, "c d e f g h"), (3, ""), (3, None)])
+
+
 def test_pipeline_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

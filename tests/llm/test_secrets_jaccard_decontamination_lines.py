@@ -435,6 +435,36 @@ def test_random_tokens_are_told_from_plain_ones(spark):
     assert len(found & set(range(60))) >= 55 and not found - set(range(60))
 
 
+def test_rates_on_planted_and_ordinary_tokens(spark):
+    """Random tokens of several encodings and lengths are found; of what is reported few are ordinary names."""
+    rng = random.Random(21)
+    plain = "report user invoice monthly archive session backup customer region update private public export table stage model".split()
+    rows = []
+    for i in range(900):
+        al = (S.DIGITS + S.SMALL[:6], S.DIGITS + S.SMALL, S.DIGITS + S.LARGE + S.SMALL, S.LARGE + S.SMALL + S.DIGITS + "-_")[i % 4]
+        rows.append((i, "".join(rng.choice(al) for _ in range(rng.randrange(20, 64)))))
+    for i in range(900):
+        join, words = ("_", "-", "", "/")[i % 4], rng.sample(plain, 2 + i % 4)
+        name = join.join(w.capitalize() if i % 3 else w for w in words) + join + str(rng.randrange(1990, 2030))
+        rows.append((1000 + i, name if len(name) >= 20 else name + "archive"))
+    out = S.scan_secrets(spark.createDataFrame([(i, f"see {t} there") for i, t in rows], "doc_id long, text string")).where("exists(found, s -> s.kind_no = 3 or s.kind_no = 2)").select("doc_id").collect()
+    found, text = {r.doc_id for r in out}, dict(rows)
+    for least, most, recall, false in ((32, 64, 0.98, 0.05), (20, 32, 0.7, 0.45)):  # as the README states them
+        own = {i for i, t in rows if least <= len(t) < most and re.search("[0-9]", t) and re.search("[A-Za-z]", t)}
+        planted = {i for i in own if i < 1000}
+        assert len(found & planted) >= recall * len(planted) and len((found & own) - planted) <= false * len(found & own)
+    assert len(text) == 1800
+
+
+@pytest.mark.parametrize("letters", ["0123456789abcdef", S.DIGITS + S.SMALL, S.DIGITS + S.LARGE + S.SMALL])
+def test_p_values_of_random_tokens_are_level(spark, letters):
+    """The battery against a plain simulation: shares of the least of three p-values as of independent ones."""
+    rng = random.Random(len(letters))
+    tokens = [("".join(rng.choice(letters) for _ in range(n)),) for n in (20, 24, 40, 90) for _ in range(600)]
+    p = [r.p for r in spark.createDataFrame(tokens, "t string").select(S.randomness(F.col("t"), F.lit(letters)).alias("p")).collect()]
+    assert 0.02 < np.mean(np.array(p) < 0.017) < 0.07 and 0.47 < np.mean(np.array(p) > 0.2) < 0.65
+
+
 def test_random_tokens_in_paths(spark):
     """Runs that fit no encoding are tested part by part, each with its own place."""
     rng = random.Random(12)
