@@ -2,6 +2,9 @@
 
 Layers: 0 observed, 1 forward fill, 2 rolling median, 3 group median, 4 global median, 5 zero, null: left alone.
 Counts per layer are then one aggregate (``audit``). Each layer takes its medians from the column as filled so far.
+
+Policies that fill forward first have no rolling medians of earlier rows: after the fill a cell is null only where its
+entity has no earlier value at all, so such a layer can fill nothing.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.quantiles import exact_quantile
 from panelmill.operators.windows import ffill, rolling, series
 
 FFILL, ROLLING, GROUP, GLOBAL, ZERO = 1, 2, 3, 4, 5
@@ -25,36 +29,53 @@ def _start(df: DataFrame, column: str) -> DataFrame:
 
 
 def _group_median(df: DataFrame, column: str, by: list[str | Column]) -> Column:
+    """For groups that are short series: an entity's months."""
     return F.percentile(column, 0.5).over(Window.partitionBy(*by))
 
 
+def _with_month_median(df: DataFrame, column: str, month: str) -> DataFrame:
+    """Adds ``month_``: the month's median, aggregated first; one row per month is joined back."""
+    medians = exact_quantile(df, column, by=[month]).select(month, F.col("value").alias("month_"))
+    return df.join(F.broadcast(medians), month, "left").select(*df.columns, "month_")
+
+
 def _with_global(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
     """Adds ``global_``: one aggregated row, broadcast."""
     rows = df.where(where) if where is not None else df
-    return df.join(F.broadcast(rows.agg(F.percentile(column, 0.5).alias("global_"))))
+    return df.join(F.broadcast(exact_quantile(rows, column).select(F.col("value").alias("global_"))))
 
 
 def fill_history(df: DataFrame, column: str, key: str, before: str, month: str = "month") -> DataFrame:
-    """Rows before the forecast start only: forward fill, rolling median (12, at least 3), history median, zero."""
+    """Rows before the forecast start only: forward fill, history median, zero."""
     history = F.col(month) < F.lit(before).cast("date")
-    w = series(key, month)
-    df = _layer(_start(df, column), column, ffill(column, w), FFILL, history)
-    df = _layer(df, column, rolling(column, 12, "median", w, 3), ROLLING, history)
+    df = _layer(_start(df, column), column, ffill(column, series(key, month)), FFILL, history)
     df = _layer(_with_global(df, column, history), column, F.col("global_"), GLOBAL, history).drop("global_")
     return _layer(df, column, F.lit(0.0), ZERO, history)
 
 
 def fill_counts(df: DataFrame, column: str, key: str, month: str = "month") -> DataFrame:
-    """All rows: forward fill, rolling medians (6, at least 4; then 3, at least 2), month median, global median, zero."""
-    w = series(key, month)
-    df = _layer(_start(df, column), column, ffill(column, w), FFILL)
-    df = _layer(df, column, rolling(column, 6, "median", w, 4), ROLLING)
-    df = _layer(df, column, rolling(column, 3, "median", w, 2), ROLLING)
-    df = _layer(df, column, _group_median(df, column, [month]), GROUP)
+    """All rows: forward fill, month median, global median, zero."""
+    df = _layer(_start(df, column), column, ffill(column, series(key, month)), FFILL)
+    df = _layer(_with_month_median(df, column, month), column, F.col("month_"), GROUP).drop("month_")
     df = _layer(_with_global(df, column), column, F.col("global_"), GLOBAL).drop("global_")
     return _layer(df, column, F.lit(0.0), ZERO)
 
 
+def fill_ungrouped(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Forward fill in row order across entities, as a compatibility mode (W9): an entity may inherit from its neighbour.
+
+    No task sees the whole table: rows are parted by range of ``order``, each part is filled by itself, and what a part
+    begins with comes from the last known value of the parts before it (one row per part).
+    """
+    parts = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    own = F.last(column, True).over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = parts.groupBy("part_").agg(F.max_by(F.when(F.col(column).isNotNull(), F.col(column)), F.when(F.col(column).isNotNull(), F.struct(*order))).alias("last_"))
+    ends = last.agg(F.array_sort(F.collect_list(F.struct("part_", "last_"))).alias("ends_"))  # one struct per part
+    known = F.filter("ends_", lambda e: (e["part_"] < F.col("part_")) & e["last_"].isNotNull())
+    out = parts.withColumn("own_", own).join(F.broadcast(ends)).withColumn("before_", F.try_element_at(known, F.lit(-1))["last_"])
+    return out.select(*(F.coalesce("own_", "before_").alias(c) if c == column else F.col(c) for c in df.columns))
+
+
 def fill_by_entity(df: DataFrame, column: str, key: str, month: str = "month") -> DataFrame:
     """All rows: forward fill, entity median, global median, zero (C7; also periods and prices of C6)."""
     df = _layer(_start(df, column), column, ffill(column, series(key, month)), FFILL)

@@ -15,8 +15,8 @@ def ape(truth: Column, guess: Column, floor: float = 1e-9) -> Column:
 
 def capped_score(truth: str, guess: str) -> Column:
     """Mean of 1 - APE where APE is at most 1, else 0; predictions cut at 0, divisors of at least 1 where truth is not
-    positive, null truth left out; in 0..1, and 0 without rows (A16a)."""
-    y, p = F.col(truth), F.greatest(F.col(guess), F.lit(0.0))
+    positive, null truth left out, a missing prediction scored 0; in 0..1, and 0 without rows (A16a)."""
+    y, p = F.col(truth), F.when(F.col(guess).isNotNull(), F.greatest(F.col(guess), F.lit(0.0)))
     error = F.abs(y - p) / F.when(y > 0, y).otherwise(F.lit(1.0))
     mean = F.avg(F.when(y.isNotNull(), F.when(error <= 1, 1 - error).otherwise(F.lit(0.0))))
     return F.coalesce(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))

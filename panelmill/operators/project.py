@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.quantiles import exact_quantile, exact_quantiles
+
 DECAY, TAIL = 0.7, 12
 
 
@@ -38,14 +40,16 @@ def _tiers(values: str, city: Column, city_n: Column, overall: Column) -> tuple[
 def project(panel: DataFrame, columns: list[str], start: str, key: str, city: str, month: str = "month") -> DataFrame:
     """``panel`` with each column replaced from ``start`` on, and ``*_proj_source``, ``*_proj_overridden``.
 
-    One aggregate per tier for all columns; an entity's history is bounded by its months.
+    One aggregate per tier for all columns; an entity's history is bounded by its months. Medians of cities and of the
+    whole are selected without gathering their values in a task (``exact_quantiles``).
     """
     history = panel.where(F.col(month) < F.lit(start).cast("date"))
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(month).alias("t"), F.col(c).cast("double").alias("x")))
     arrays = [F.sort_array(F.collect_list(known(c))).alias(f"{c}_h_") for c in columns]
     own = history.groupBy(key).agg(*arrays)
-    near = history.groupBy(city, F.month(month).alias("moy_")).agg(*(x for c in columns for x in (F.percentile(c, 0.5).alias(f"{c}_m_"), F.count(c).alias(f"{c}_n_"))))
-    overall = history.agg(*(F.percentile(c, 0.5).alias(f"{c}_g_") for c in columns))
+    near = exact_quantiles(history.withColumn("moy_", F.month(month)), columns, by=[city, "moy_"])
+    near = near.select(city, "moy_", *(x for c in columns for x in (F.col(f"{c}_q").alias(f"{c}_m_"), F.col(f"{c}_n").alias(f"{c}_n_"))))
+    overall = exact_quantiles(history, columns).select(*(F.col(f"{c}_q").alias(f"{c}_g_") for c in columns))
     rows = panel.withColumn("moy_", F.month(month)).join(own, key, "left").join(near, [city, "moy_"], "left").join(F.broadcast(overall))
     rows = rows.withColumns({f"{c}_h_": F.coalesce(F.transform(f"{c}_h_", lambda s: s["x"]), F.array().cast("array<double>")) for c in columns})
     future = F.col(month) >= F.lit(start).cast("date")
@@ -78,19 +82,25 @@ def drift(original: DataFrame, projected: DataFrame, columns: list[str], start:
 def backtest(panel: DataFrame, column: str, key: str, city: str, month: str = "month") -> DataFrame:
     """Every known value against its projection from strictly earlier months: value, source, ape.
 
-    The global tier takes one median per month over all earlier rows (the months are few, their rows are not): each month's
-    rows are dealt to the later months and aggregated there, instead of one ordered pass in a single task.
+    Only known rows take part. The entity's tiers need its last twelve known values and their number, in one bounded
+    frame. The city's and the global median are made only for the months that some row with fewer than three earlier
+    values asks for, each from the earlier rows, selected without gathering them.
     """
-    before = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, -1)
-    index = F.year(month) * 12 + F.month(month)
-    same = Window.partitionBy(city, F.month(month)).orderBy(index).rangeBetween(Window.unboundedPreceding, -1)
-    months = panel.select(month).distinct().agg(F.collect_list(month).alias("all_"))
-    later = panel.where(F.col(column).isNotNull()).groupBy(month, F.col(column).alias("v_")).agg(F.count("*").alias("w_")).join(F.broadcast(months)).select("v_", "w_", F.explode(F.filter("all_", lambda m: m > F.col(month))).alias(month))
-    overall = later.groupBy(month).agg(F.percentile("v_", 0.5, F.col("w_")).alias("g_"))
-    rows = panel.select("*", F.collect_list(column).over(before).alias("h_"), F.percentile(column, 0.5).over(same).alias("m_"), F.count(column).over(same).alias("n_")).join(F.broadcast(overall), month, "left")
-    rows = rows.withColumn("h_", F.transform("h_", lambda x: x.cast("double")))
+    index = (F.year(month) * 12 + F.month(month)).alias("t_")
+    own = Window.partitionBy(key).orderBy(month)
+    known = panel.where(F.col(column).isNotNull()).select(key, month, F.col(city).alias("city_"), F.month(month).alias("moy_"), index, F.col(column).alias("x_"))
+    rows = known.withColumns({"h_": F.transform(F.collect_list("x_").over(own.rowsBetween(-TAIL, -1)), lambda x: x.cast("double"))})
+    short = rows.where(F.size("h_") < 3)
+    places = ["city_", "moy_"]
+    asked = short.groupBy(*places).agg(F.collect_set("t_").alias("asked_"))  # a city's years
+    later = F.explode(F.filter("asked_", lambda t: t > F.col("t_"))).alias("at_")
+    near = exact_quantile(known.join(asked, places).select(*places, "x_", later), "x_", by=[*places, "at_"]).select(*places, F.col("at_").alias("t_"), F.col("value").alias("m_"), F.col("n").alias("n_"))
+    few = short.join(near, [*places, "t_"], "left").where(F.coalesce("n_", F.lit(0)) < 3)
+    months = few.agg(F.collect_set("t_").alias("asked_"))  # months
+    overall = exact_quantile(known.join(F.broadcast(months)).select("x_", later), "x_", by=["at_"]).select(F.col("at_").alias("t_"), F.col("value").alias("g_"))
+    rows = rows.join(near, [*places, "t_"], "left").join(F.broadcast(overall), "t_", "left")
     value, source = _tiers("h_", F.col("m_"), F.col("n_"), F.col("g_"))
-    out = rows.where(F.col(column).isNotNull()).select(key, month, F.col(column).alias("actual"), value.alias("value"), source.alias("source"))
+    out = rows.select(key, month, F.col("x_").alias("actual"), value.alias("value"), source.alias("source"))
     return out.withColumn("ape", F.abs(F.col("value") - F.col("actual")) / F.greatest(F.abs("actual"), F.lit(1.0)))
 
 

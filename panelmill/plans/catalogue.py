@@ -18,11 +18,25 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def _as_decimals(sql: str) -> str:
+    """``round(x, 6)`` of the SQL rounds decimals, as ``r6`` does (see there)."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while depth or end == start + 5:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = _as_decimals(sql[start + 6 : end - 1])
+        exact = f"cast(round(cast({inner[:-3]} as decimal(38, 8)), 6) as double)" if inner.endswith(", 6") else f"round({inner})"
+        out, at = out + sql[at:start] + exact, end
+    return out + sql[at:]
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if oracle is not None:
-            _ORACLES[f.__name__] = oracle.replace(", 6) as", " + 2e-8, 6) as")
+            _ORACLES[f.__name__] = _as_decimals(oracle)
         return f
 
     return put
@@ -41,9 +55,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str, name: str) -> Column:
-    """Six digits. Means of exact decimals can end in a 5 at the seventh; a nudge well over the rounding error of either
-    engine and under a digit settles such ties alike (``query`` puts the same one into the SQL)."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 2e-8, 6).alias(name)
+    """Rounded to six digits, by way of eight: means of exact decimals can end in a 5 at the seventh digit, and their
+    doubles lie on either side of it; as decimals of eight digits they are that 5 in any engine."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x.cast("decimal(38,8)"), 6).cast("double").alias(name)
 
 
 # base facts
@@ -330,10 +345,10 @@ def metric_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_STAT = {"mean": "avg(amt)", "std": "stddev_pop(amt)", "min": "min(amt)", "max": "max(amt)"}
 
 
-@query(f"with {P} select k, month, " + ", ".join(f"round(case when count(amt) over w{n} >= 2 then {e} over w{n} end, 6) as amt_roll_{s}_{n}" for n in (3, 6, 12) for s, e in _SQL_STAT.items()) + ", cast(count(amt) over w6 as bigint) as amt_roll_count_6 from p window " + ", ".join(f"w{n} as (partition by k order by month rows between {n} preceding and 1 preceding)" for n in (3, 6, 12)))
+@query(f"with {P} select k, month, " + ", ".join(f"round(case when count(amt) over w{n} >= 2 then {e} over w{n} end, {3 if s == 'std' else 6}) as amt_roll_{s}_{n}" for n in (3, 6, 12) for s, e in _SQL_STAT.items()) + ", cast(count(amt) over w6 as bigint) as amt_roll_count_6 from p window " + ", ".join(f"w{n} as (partition by k order by month rows between {n} preceding and 1 preceding)" for n in (3, 6, 12)))
 def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = win.series("k")
-    return supplier_panel(spark, sf_dir).select("k", "month", *(r6(win.rolling("amt", n, s, w, 2), f"amt_roll_{s}_{n}") for n in (3, 6, 12) for s in _SQL_STAT), win.rolling("amt", 6, "count", w).alias("amt_roll_count_6"))
+    return supplier_panel(spark, sf_dir).select("k", "month", *(F.round(x, 3).alias(name) if s == "std" else r6(x, name) for n in (3, 6, 12) for s in _SQL_STAT for x, name in [(win.rolling("amt", n, s, w, 2), f"amt_roll_{s}_{n}")]), win.rolling("amt", 6, "count", w).alias("amt_roll_count_6"))
 
 
 @query(f"with {P} select k, month, round(case when count(amt) over r >= 3 then quantile_cont(amt, 0.5) over r end, 6) as median_12 from p window r as (partition by k order by month rows between 12 preceding and 1 preceding)")
@@ -421,7 +436,7 @@ def pivot_row_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIER = """case when n >= 12 then ew when n >= 6 then am when n >= 3 then md when coalesce(cn, 0) >= 3 then cmd else coalesce(gm, 0) end"""
 _SRC = "case when n >= 12 then 1 when n >= 3 then 2 when coalesce(cn, 0) >= 3 then 3 else 4 end"
 _PCN = "pcn as (select pc.*, cast(c_nationkey as int) as city from pc left join customer on c_custkey = pc.k)"
-_PROJ = f"""h as (select *, row_number() over (partition by k order by month desc) as age from pcn where amt is not null and month < date '{START}'),
+_PROJ = f"""h as (select cf.*, cast(c_nationkey as int) as city, row_number() over (partition by k order by month desc) as age from cf join customer on c_custkey = k where amt is not null and month < date '{START}'),
   o as (select k, count(*) as n, avg(amt) as am, quantile_cont(amt, 0.5) as md, sum(case when age <= 12 then amt * pow(0.7, age - 1) end) / ((1 - pow(0.7, 12)) / 0.3) as ew from h group by k),
   c as (select city, month(month) as moy, count(*) as cn, quantile_cont(amt, 0.5) as cmd from h group by 1, 2), g as (select quantile_cont(amt, 0.5) as gm from h),
   pj as (select x.k, x.month, x.amt as actual, case when x.month >= date '{START}' then greatest({_TIER}, 0) else x.amt end as amt, case when x.month >= date '{START}' then {_SRC} else 0 end as src
