@@ -119,3 +119,21 @@ def mapped(col: Column | str, known: dict[str, str]) -> tuple[Column, Column]:
     c = F.col(col) if isinstance(col, str) else col
     hit = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[c]
     return F.coalesce(hit, F.regexp_replace(F.lower(F.trim(c)), "[^0-9a-z]+", "_")), hit.isNull()
+
+
+def natural_key(col: str) -> list[Column]:
+    """Sort keys of names with a number in them: the number, then the name (O2)."""
+    return [F.nullif(F.regexp_extract(col, r"(\d+)", 1), F.lit("")).try_cast("long"), F.col(col)]
+
+
+def downcast(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns in narrower types (P13); fails, when run, on a value that doesn't fit."""
+
+    def one(c: str) -> Column:
+        if c not in kinds:
+            return F.col(c)
+        small = F.col(c).try_cast(kinds[c])
+        lost = F.col(c).isNotNull() & small.isNull()
+        return F.when(lost, F.raise_error(F.concat(F.lit(f"{c} does not fit {kinds[c]}: "), F.col(c).cast("string"))).cast(kinds[c])).otherwise(small).alias(c)
+
+    return df.select(*map(one, df.columns))

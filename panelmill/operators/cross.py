@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.functions.columns import mean_across
 from panelmill.operators.windows import SMALL
 
 
@@ -34,6 +35,11 @@ def group_gap(df: DataFrame, column: str, group: list[str]) -> DataFrame:
     return df.select("*", near.alias(f"{column}_nearby"), (F.col(column) - near).alias(f"{column}_minus_nearby"))
 
 
+def density_search(df: DataFrame, densities: list[str], scores: list[str]) -> DataFrame:
+    """``x_x_search``: each density times the mean of the search scores (C20); null scores are left out of the mean."""
+    return df.select("*", *((F.col(c) * mean_across(scores)).alias(f"{c}_x_search") for c in densities))
+
+
 def row_shares(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Each of ``columns`` as a share of their sum; 0 where the sum is 0."""
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))

@@ -101,3 +101,14 @@ def importance(df: DataFrame, model: str, feature: str, value: str, n: int = 50)
     """Importances normalised per model, summed per feature, the top ``n``."""
     share = F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(model)))
     return df.withColumn("s_", share).groupBy(feature).agg(F.sum("s_").alias("importance")).orderBy(F.desc("importance"), feature).limit(n)
+
+
+def best_of_folds(scores: DataFrame) -> DataFrame:
+    """(model, fold, score) with mean_score per model, best_model and best_fold, its fold of greatest score (A21); ties by name.
+
+    A row per model and fold: a table of a few dozen rows.
+    """
+    means = scores.groupBy("model").agg(F.avg("score").alias("mean_score"), F.max_by("fold", F.struct("score", F.transform(F.split("fold", ""), lambda c: -F.ascii(c)))).alias("top_"))
+    best = means.orderBy(F.desc("mean_score"), "model").limit(1).select(F.col("model").alias("best_"))
+    out = scores.join(F.broadcast(means), "model").join(F.broadcast(best))
+    return out.select("model", "fold", "score", "mean_score", (F.col("model") == F.col("best_")).alias("best_model"), (F.col("fold") == F.col("top_")).alias("best_fold"))

@@ -11,9 +11,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.metrics import assign_folds, capped_score
+
 
 def standardise(df: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population deviation of the fit rows; a deviation of 0 counts as 1 (M1)."""
@@ -68,6 +71,51 @@ def ridge(train: DataFrame, columns: list[str], target: str, alpha: float = 0.5)
     return LinearRegression(labelCol=target, featuresCol="features", regParam=alpha / n, elasticNetParam=0.0, solver="normal").fit(assemble(train, columns))
 
 
+def monotone_vector(columns: list[str], rising: set[str], falling: set[str] = frozenset()) -> list[int]:
+    """1, -1 or 0 per column (M6), for learners that take such constraints; Spark's own trees take none."""
+    return [(c in rising) - (c in falling) for c in columns]
+
+
+def gains(spark: SparkSession, model, columns: list[str], name: str) -> DataFrame:
+    """(model, feature, gain) of a fitted tree model (M8)."""
+    return spark.createDataFrame([(name, c, float(g)) for c, g in zip(columns, model.featureImportances.toArray())], "model string, feature string, gain double")
+
+
+def save(model, path: str) -> None:
+    """Write a fitted model of any kind, through Spark, so that any store will do."""
+    model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str):
+    """A model that ``save`` wrote; its class is read from its metadata."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
+def ols(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(feature, coefficient, std_error, t, p_value) of least squares on several columns, the intercept last (M9)."""
+    fitted = LinearRegression(labelCol=target, featuresCol="features", solver="normal").fit(assemble(df, columns))
+    s = fitted.summary
+    values = zip([*columns, "(intercept)"], [*fitted.coefficients.toArray(), fitted.intercept], s.coefficientStandardErrors, s.tValues, s.pValues)
+    return df.sparkSession.createDataFrame([(n, *map(float, v)) for n, *v in values], "feature string, coefficient double, std_error double, t double, p_value double")
+
+
+def validated(df: DataFrame, folds: list, learners: dict, columns: list[str], target: str, naive: str, month: str = "month") -> DataFrame:
+    """(model, fold, score): each learner is fitted on a fold's training months and scored on its validation months.
+
+    ``learners``: name to a function from training rows to a model, or None for column ``naive`` as it is. The folds' rows
+    are filters of one table, which the caller writes out first if making it is dear.
+    """
+    out = None
+    for fold in folds:
+        own = assign_folds(df, [fold], month)
+        train, valid = own.where("role = 'train'"), own.where("role = 'valid'")
+        for name, fit in learners.items():
+            guess = valid.withColumn("prediction", F.col(naive)) if fit is None else fit(train).transform(assemble(valid, columns))
+            score = guess.agg(capped_score(target, "prediction").alias("score")).select(F.lit(name).alias("model"), F.lit(fold.name).alias("fold"), "score")
+            out = score if out is None else out.unionByName(score)
+    return out
+
+
 def random_search(space: dict[str, Callable[[random.Random], object]], score: Callable[[dict], float], trials: int = 25, seed: int = 29) -> tuple[dict, float, list[dict]]:
     """Best of ``trials`` random settings, and the log of all (M3). ``score`` fits and validates; higher is better."""
     rng, log = random.Random(seed), []
@@ -157,11 +205,17 @@ def factorise(matrix: np.ndarray, k: int = 5, rounds: int = 300, seed: int = 0)
     return a, b
 
 
-def topics(wide: DataFrame, time: str, columns: list[str], k: int = 5) -> DataFrame:
-    """(time, topic, weight) of a small wide table of one row per time."""
+def topics(wide: DataFrame, time: str, columns: list[str], k: int = 5, most: int = 100_000) -> DataFrame:
+    """(time, topic, weight) of a small wide table of one row per time (M13); refuses more than ``most`` rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(time)
+        held, n = [], 0
+        for batch in batches:
+            n += len(batch)
+            if n > most:
+                raise ValueError(f"more than {most} rows to factorise")
+            held.append(batch)
+        pdf = pd.concat(held).sort_values(time)
         a, _ = factorise(pdf[columns].fillna(0.0).clip(lower=0).to_numpy(float), k)
         yield pd.DataFrame([{time: t, "topic": j, "weight": w} for t, row in zip(pdf[time], a) for j, w in enumerate(row)])
 

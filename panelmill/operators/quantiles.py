@@ -12,7 +12,7 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, by: list[str] | N
     """(by..., value, n): the interpolated quantile of the non-null values of each group, and their number.
 
     A mergeable sketch brackets the quantile between two values whose ranks surely enclose it; values outside the
-    bracket only count, as minus or plus infinity, and what lies inside is counted value by value before one task
+    bracket only count, and what lies inside is counted value by value before one task
     sees it: some 4 / ``accuracy`` of a group's distinct values. Without a group, an empty table gives one null row.
     """
     by, margin = by or [], 2.0 / accuracy
@@ -24,7 +24,9 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, by: list[str] | N
     else:
         rows = known.join(F.broadcast(ends))  # one row
     cut = F.when(F.col("x_") < F.col("e_")[0], F.lit(LOW)).when(F.col("x_") > F.col("e_")[1], F.lit(HIGH)).otherwise(F.col("x_"))
-    counts = rows.groupBy(*by, cut.alias("v_")).agg(F.count("*").alias("c_"))
+    # those outside stand by their value next to the bracket, with which the quantile may be interpolated
+    counts = rows.groupBy(*by, cut.alias("v_")).agg(F.count("*").alias("c_"), F.min("x_").alias("least_"), F.max("x_").alias("most_"))
+    counts = counts.withColumn("v_", F.when(F.col("v_") == LOW, F.col("most_")).otherwise(F.col("least_")))
     return counts.groupBy(*by).agg(F.percentile("v_", q, F.col("c_")).alias("value"), F.coalesce(F.sum("c_"), F.lit(0)).alias("n"))
 
 

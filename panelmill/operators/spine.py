@@ -73,3 +73,15 @@ def extrapolate_annual(annual: DataFrame, year: str, value: str, until: int) ->
     nxt = F.when(span <= 0, last["v"]).when((first["v"] > 0) & (last["v"] > 0), last["v"] * F.pow(F.try_divide(last["v"], first["v"]), F.try_divide(F.lit(1.0), span))).otherwise(last["v"] + F.try_divide(last["v"] - first["v"], span))
     more = seen.select(F.explode(F.when(last["y"] < until, F.sequence(last["y"] + 1, F.lit(until).cast("long")))).alias(year), nxt.alias(value), F.lit(1).alias("is_extrapolated"))
     return annual.select(F.col(year).cast("long").alias(year), value, F.lit(0).alias("is_extrapolated")).unionByName(more)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` and its row number in ``order``, from 1 (O1, O2), without a window over the whole table.
+
+    Rows are parted by range and numbered within each part; the parts' sizes, one row each, make the offsets.
+    """
+    parts = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    sizes = parts.groupBy("part_").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("part_", "n")).alias("sizes_"))
+    before = F.aggregate(F.filter("sizes_", lambda s: s["part_"] < F.col("part_")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return parts.withColumn("own_", own).join(F.broadcast(sizes)).select(*df.columns, (before + F.col("own_")).cast("int").alias(name))

@@ -644,6 +644,8 @@ def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = lambda d: d.select("*", win.rolling("amt", 3, "mean", w).alias("m3"), F.lag("amt", 12).over(w).alias("l12"))
     predict = lambda d, _: d.withColumn("prediction", (F.coalesce("m3", F.lit(0.0)) + F.coalesce("l12", "m3", F.lit(0.0))) / 2)
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-"))  # none is named: a local run
@@ -655,3 +657,118 @@ def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = standard_plan(["amt", "qty"], "k")
     out = plan.budget(plan.guard(plan.build(supplier_panel(spark, sf_dir).drop("n")), ["qty"]), 20)
     return category_counts(plan, out)
+
+
+# preparation
+@query("""with r as (select p_partkey as id, 'sector ' || p_partkey as name, row_number() over (order by p_partkey) as natural_rank, row_number() over (order by 'sector ' || p_partkey) as text_rank from part)
+  select id, cast(natural_rank as int) as natural_rank, cast(text_rank as int) as text_rank from r where natural_rank <= 500""")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of ``sector N`` by its number and by its text: ordered runs, no window over the whole table."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("sector "), F.col("p_partkey")).alias("name"))
+    return spine.ranked(spine.ranked(parts, fn.natural_key("name"), "natural_rank"), [F.col("name")], "text_rank").where("natural_rank <= 500").select("id", "natural_rank", "text_rank")
+
+
+@query("select p_partkey, cast(p_size as tinyint) as p_size, cast(p_partkey % 30000 as smallint) as small_key from part")
+def downcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 30000).alias("small_key"))
+    return fn.downcast(rows, {"p_size": "tinyint", "small_key": "smallint"})
+
+
+@query(f"with {PC} select k, month, last_value(amt ignore nulls) over (order by k, month rows between unbounded preceding and current row) as amt from pc")
+def fill_in_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.fill_ungrouped(customer_panel(spark, sf_dir), "amt", ["k", "month"]).select("k", "month", "amt")
+
+
+@query(f"with {P} select k, month, coalesce(amt, 0) as amt, coalesce(qty, 0) as qty, cast(amt is null as int) as amt_was_missing, cast(qty is null as int) as qty_was_missing from p")
+def search_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.fill_search(supplier_panel(spark, sf_dir).drop("n"), ["amt", "qty"]).select("k", "month", "amt", "qty", "amt_was_missing", "qty_was_missing")
+
+
+@query(f"""with {PC}, h as (select k, month, case when month < date '{START}' then coalesce(last_value(case when month < date '{START}' then amt end ignore nulls) over (partition by k order by month), 0) else amt end as amt from pc) select * from h""")
+def masked_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = win.masked_fill(F.col("amt"), "amt", F.col("month") < F.lit(START).cast("date"), win.series("k"), customer_panel(spark, sf_dir))
+    return rows.select("k", "month", "amt")
+
+
+@query("""with r as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) select o_custkey, o_orderkey, o_totalprice from r where rn = 1""")
+def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spine.keep_one(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(f"with {P} select k, month, amt, cast(0.0 as double) as absent, (coalesce(amt, 0) + coalesce(qty, 0)) / nullif(cast(amt is not null as int) + cast(qty is not null as int), 0) as mean from p")
+def aligned_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_panel(spark, sf_dir)
+    return fn.align(rows.withColumn("mean", fn.mean_across(["amt", "qty"])), ["k", "month", "amt", "absent", "mean"])
+
+
+@query("""with s as (select avg(p_retailprice) as mp, stddev_pop(p_retailprice) as sp, avg(p_size) as ms, stddev_pop(p_size) as ss from part)
+  select p_partkey, round(p_size * ((p_retailprice - mp) / sp + (p_size - ms) / ss) / 2, 6) as density_x_search from part cross join s""")
+def density_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("density"), F.col("p_retailprice").alias("z1"), F.col("p_size").cast("double").alias("z2"))
+    out = cross.density_search(models.standardise(rows, ["z1", "z2"]), ["density"], ["z1", "z2"])
+    return out.select("p_partkey", r6("density_x_search", "density_x_search"))
+
+
+_TWO = """a as (select k, month, amt as y, lag(amt) over w as naive, avg(amt) over (partition by k order by month rows between 3 preceding and 1 preceding) as mean3 from p window w as (partition by k order by month)),
+  u as (select 'naive' as model, k, month, y, naive as yhat from a union all select 'mean3', k, month, y, mean3 from a)"""
+
+
+@query(f"""with {P}, {_TWO}, fo(fold, a, b) as (values {_FOLD_SQL}), s as (select model, fold, {_CAPPED} as score from u join fo on month between a and b group by 1, 2), mm as (select model, round(avg(score), 6) as mean_score from s group by 1)
+  select s.model, fold, score, mean_score, s.model = (select model from mm order by mean_score desc, model limit 1) as best_model, row_number() over (partition by s.model order by score desc, fold) = 1 as best_fold from s join mm on mm.model = s.model""")
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores per model and fold, mean scores, the best model and each model's best fold."""
+    w = win.series("k")
+    rows = supplier_panel(spark, sf_dir).select("k", "month", F.col("amt").alias("y"), F.lag("amt").over(w).alias("naive"), win.rolling("amt", 3, "mean", w).alias("mean3"))
+    long = rows.unpivot(["k", "month", "y"], ["naive", "mean3"], "model", "yhat")
+    valid = metrics.assign_folds(long, FOLDS).where("role = 'valid'")
+    scores = valid.groupBy("model", "fold").agg(r6(metrics.capped_score("y", "yhat"), "score"))
+    out = metrics.best_of_folds(scores)
+    return out.select("model", "fold", "score", r6("mean_score", "mean_score"), "best_model", "best_fold")
+
+
+@query(f"""with {P}, x as (select amt as y, qty as a, cast(n as double) as b from p where amt is not null), s as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) * count(*) as aa, var_pop(b) * count(*) as bb, covar_pop(a, b) * count(*) as ab, covar_pop(a, y) * count(*) as ay, covar_pop(b, y) * count(*) as by_, var_pop(y) * count(*) as yy from x),
+  c as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as cb from s), e as (select *, (yy - ca * ay - cb * by_) / (n - 3) as s2 from c)
+  select 'qty' as feature, round(ca, 3) as coefficient, round(sqrt(s2 * bb / (aa * bb - ab * ab)), 3) as std_error, round(ca / sqrt(s2 * bb / (aa * bb - ab * ab)), 3) as t from e
+  union all select 'n', round(cb, 3), round(sqrt(s2 * aa / (aa * bb - ab * ab)), 3), round(cb / sqrt(s2 * aa / (aa * bb - ab * ab)), 3) from e""")
+def ols_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.ols(supplier_panel(spark, sf_dir).where("amt is not null"), ["qty", "n"], "amt")
+    return out.where("feature <> '(intercept)'").select("feature", *(F.round(c, 3).alias(c) for c in ("coefficient", "std_error", "t")))
+
+
+@query(f"""with {P}, x as (select k, month, coalesce(amt, 0) as amt, row_number() over (partition by k order by month desc) as age from p), b as (select k, max(month) as last, avg(case when age <= 12 then amt end) - avg(case when age between 13 and 24 then amt end) as step from x group by k)
+  select b.k, cast(last + to_months(cast(13 - age as int)) as date) as month, round(greatest(x.amt + coalesce(step, 0), 0), 6) as forecast from b join x on x.k = b.k where age between 7 and 12""")
+def seasonal_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seasonal(spark, sf_dir).select("k", "month", r6("forecast", "forecast"))
+
+
+@query("""select doc_id, source, regexp_replace(regexp_replace(lower(lang || ' ' || source), '[^0-9a-z]+', '_', 'g'), '^_|_$', '', 'g') as slug from documents""")
+def ascii_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nfkc_slugs`` on the tables, whose keys are ASCII."""
+    return nfkc_slugs(spark, sf_dir)
+
+
+@query("select * from (values ('growth', 4), ('lags', 8), ('log1p', 2), ('rolling', 12), ('zscore', 2)) as t(category, n)")
+def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = standard_plan(["amt", "qty"], "k")
+    return category_counts(plan, plan.build(supplier_panel(spark, sf_dir).drop("n"))).withColumn("n", F.col("n").cast("int"))
+
+
+def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = target_lags(spark, sf_dir).join(supplier_panel(spark, sf_dir).select("k", "month", "amt"), ["k", "month"])
+    return rows.where("amt is not null and amt_lag_12_was_imputed = 0").select("k", "month", "amt", "amt_lag_1", "amt_lag_12")
+
+
+@query()
+def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of boosted trees, normalised."""
+    rows = _lagged(spark, sf_dir)
+    model = models.boosted(rows.where(F.col("month") < F.lit(START).cast("date")), ["amt_lag_1", "amt_lag_12"], "amt", maxIter=3)
+    return metrics.importance(models.gains(spark, model, ["amt_lag_1", "amt_lag_12"], "boosted"), "model", "feature", "gain")
+
+
+@query()
+def learner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, validate and choose over purged folds: ridge and boosted learners against the naive forecast."""
+    cols = ["amt_lag_1", "amt_lag_12"]
+    learners = {"naive": None, "ridge": lambda d: models.ridge(d, cols, "amt"), "boosted": lambda d: models.boosted(d, cols, "amt", maxIter=3)}
+    return metrics.best_of_folds(models.validated(_lagged(spark, sf_dir), FOLDS[-2:], learners, cols, "amt", "amt_lag_1"))

@@ -12,6 +12,32 @@ from pyspark.sql import functions as F
 from panelmill.functions.columns import month_of, normalise_names, number, snake_case
 
 
+def _store(path: str):
+    """Hadoop's file system and path for ``path``: any store that Spark reads."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_text(path: str) -> str:
+    """A small UTF-8 text file."""
+    fs, at = _store(path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(text: str, path: str) -> None:
+    fs, at = _store(path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 @dataclass(frozen=True)
 class Source:
     """A CSV table: where it is, its text keys; every other column is a measure."""
@@ -31,7 +57,7 @@ class Paths:
     @classmethod
     def load(cls, path: str) -> "Paths":
         """From JSON, or YAML of plain ``key: value`` lines."""
-        text = open(path, encoding="utf-8-sig").read()
+        text = read_text(path).removeprefix("\ufeff")
         if path.endswith(".json"):
             tables = json.loads(text)
         else:
@@ -91,8 +117,7 @@ def append(df: DataFrame, path: str, kind: str = "json") -> None:
 
 def write_json(report: dict, path: str) -> None:
     """A nested report."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, ensure_ascii=False, indent=2, default=str)
+    write_text(json.dumps(report, ensure_ascii=False, indent=2, default=str), path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

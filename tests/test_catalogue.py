@@ -55,6 +55,8 @@ def test_without_sql(spark, sf_dir, name):
         "tweedie_forecast": lambda: all(r.prediction > 0 for r in got),
         "recursive_forecast": lambda: len(got) == len({(r.k, r.month) for r in got}) and all(r.prediction >= 0 for r in got),
         "feature_inventory": lambda: sum(r.n for r in got) <= 20,
+        "gain_importance": lambda: abs(sum(r.importance for r in got) - 1) < 1e-9,
+        "learner_folds": lambda: len(got) == 6 and sum(r.best_fold for r in got) == 3 and len({r.model for r in got if r.best_model}) == 1 and all(0 <= r.score <= 1 for r in got),
         "nfkc_slugs": lambda: all(r.slug == r.slug.lower() for r in got),
     }
     assert checks.get(name, lambda: True)()

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import columns as fn
-from panelmill.operators import impute, metrics, models, project, quality, search, spine
+from panelmill.operators import impute, metrics, models, project, quality, quantiles, search, spine
 from panelmill.operators import windows as win
 from panelmill.plans.feature_plan import standard_plan
 from panelmill.sources import files
@@ -227,3 +227,63 @@ def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
 def test_window_without_partition_is_for_calendars_only(spark):
     w = Window.orderBy("month")
     assert column(frame(spark, [1.0, None]).select("month", win.ffill("x", w).alias("f")), "f") == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 1.0])
+def test_quantiles_by_selection(spark, q, accuracy):
+    """Exact in groups of any size, with ties, nulls and a null group."""
+    rng = np.random.default_rng(3)
+    data = [(None if k == 9 else k, None if rng.random() < 0.1 else float(rng.choice([rng.normal(), 0.0, 7.0]))) for k in range(12) for _ in range(int(rng.choice([1, 2, 3, 50, 999])))]
+    data += [(50, None)]
+    df = spark.createDataFrame(data, "k int, x double")
+    known = pd.DataFrame(data, columns=["k", "x"]).dropna(subset="x")
+    known["k"] = known["k"].fillna(-1)
+    want = {k: (np.percentile(x, 100 * q), len(x)) for k, x in known.groupby("k")["x"]}
+    got = {-1 if r.k is None else r.k: (r.value, r.n) for r in quantiles.exact_quantile(df, "x", q, ["k"], accuracy).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v), n) for k, (v, n) in want.items())
+    assert quantiles.exact_quantile(df, "x", q, accuracy=accuracy).first()[:] == (pytest.approx(np.percentile(known["x"], 100 * q)), len(known))
+    assert quantiles.exact_quantile(df.limit(0), "x").first()[:] == (None, 0)
+    both = quantiles.exact_quantiles(df.withColumn("y", -F.col("x")), ["x", "y"], q).first()
+    assert both.x_n == both.y_n == len(known) and both.y_q == pytest.approx(-np.percentile(known["x"], 100 * (1 - q)))
+
+
+def test_missing_predictions_score_nothing(spark):
+    df = spark.createDataFrame([(0.0, None), (10.0, 10.0), (5.0, None), (None, 1.0)], "y double, p double")
+    assert df.agg(metrics.capped_score("y", "p")).first()[0] == pytest.approx(1 / 3)
+
+
+def test_row_order_fill_and_ranks(spark):
+    rng = np.random.default_rng(5)
+    data = [(k, i, None if rng.random() < 0.6 or k == 1 else float(i)) for k in range(1, 40) for i in range(7)]
+    df = spark.createDataFrame(data, "k int, i int, x double").repartition(5)
+    got = impute.fill_ungrouped(df, "x", ["k", "i"]).orderBy("k", "i").collect()
+    assert [r.x for r in got] == pd.Series([x for *_, x in data], dtype=float).ffill().replace({np.nan: None}).tolist()
+    names = spark.createDataFrame([(f"sector {n}",) for n in (10, 9, 1, 100, 11)], "name string")
+    assert [r.name for r in spine.ranked(names, fn.natural_key("name"), "r").orderBy("r").collect()] == [f"sector {n}" for n in (1, 9, 10, 11, 100)]
+
+
+def test_downcast_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1,), (None,)], "a long")
+    assert dict(fn.downcast(df, {"a": "tinyint"}).dtypes) == {"a": "tinyint"}
+    with pytest.raises(Exception, match="does not fit"):
+        fn.downcast(spark.createDataFrame([(300,)], "a long"), {"a": "tinyint"}).collect()
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i - (i % 3) + 1) for i in range(30)], "a double, b double, y double")
+    model = models.ridge(df, ["a", "b"], "y", 0.0)
+    models.save(model, str(tmp_path / "m"))
+    again = models.load(spark, str(tmp_path / "m"))
+    assert type(again) is type(model) and np.allclose(again.coefficients.toArray(), model.coefficients.toArray())
+    fitted = {r.feature: r.coefficient for r in models.ols(df.withColumn("y", F.col("y") + F.sin("a")), ["a", "b"], "y").collect()}
+    x = np.array([[i, i % 3, 1.0] for i in range(30)])
+    assert np.allclose([fitted[f] for f in ("a", "b", "(intercept)")], np.linalg.lstsq(x, np.array([2.0 * i - (i % 3) + 1 + np.sin(i) for i in range(30)]), rcond=None)[0])
+    assert models.monotone_vector(["a", "b", "c"], {"a"}, {"c"}) == [1, 0, -1]
+
+
+def test_density_and_search(spark):
+    from panelmill.operators import cross
+
+    df = spark.createDataFrame([(2.0, 1.0, 3.0), (4.0, None, 1.0), (1.0, None, None)], "d double, z1 double, z2 double")
+    assert [r.d_x_search for r in cross.density_search(df, ["d"], ["z1", "z2"]).collect()] == [4.0, 4.0, None]
