@@ -81,3 +81,13 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     by_b, by_t, all_ = Window.partitionBy("column", "b_"), Window.partitionBy("column", "t_"), Window.partitionBy("column")
     terms = joint.select("column", "n", F.sum("n").over(by_b).alias("nb"), F.sum("n").over(by_t).alias("nt"), F.sum("n").over(all_).alias("na"))
     return terms.groupBy("column").agg(F.greatest(F.sum(F.col("n") / F.col("na") * F.log(F.col("n") * F.col("na") / (F.col("nb") * F.col("nt")))), F.lit(0.0)).alias("mi"))
+
+
+def informative(df: DataFrame, columns: list[str], target: str, time: str, n: int = 12, folds: int = 3) -> DataFrame:
+    """(column, mi): the ``n`` columns of greatest mean mutual information over the folds of months but the first."""
+    own = df.join(F.broadcast(folds_of_months(df, time, folds)), time)  # a row per month
+    scores = None
+    for k in range(2, folds + 1):
+        one = mutual_information(own.where(F.col("bucket") == k), columns, target)
+        scores = one if scores is None else scores.unionByName(one)
+    return scores.groupBy("column").agg(F.avg("mi").alias("mi")).orderBy(F.desc("mi"), "column").limit(n)

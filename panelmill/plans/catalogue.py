@@ -11,6 +11,7 @@ from panelmill.functions import columns as fn
 from panelmill.operators import cross, forecast, impute, metrics, models, project, quality, search, spine
 from panelmill.operators import windows as win
 from panelmill.plans.feature_plan import category_counts, standard_plan
+from panelmill.sources import files
 from panelmill.streaming.events import windowed_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -772,3 +773,125 @@ def learner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["amt_lag_1", "amt_lag_12"]
     learners = {"naive": None, "ridge": lambda d: models.ridge(d, cols, "amt"), "boosted": lambda d: models.boosted(d, cols, "amt", maxIter=3)}
     return metrics.best_of_folds(models.validated(_lagged(spark, sf_dir), FOLDS[-2:], learners, cols, "amt", "amt_lag_1"))
+
+
+# files: written to the shared folder and read again
+@query(f"with {P} select k, month, amt, qty, n, cast(year(month) as int) as year from p where month between date '1997-03-01' and date '1999-10-01'")
+def panel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel by year, read between two months: partitions and row groups are pruned."""
+    path = files.scratch_dir(spark)
+    files.write_panel(supplier_panel(spark, sf_dir), path)
+    return files.scan_parquet(spark, path, "1997-03-01", "1999-10-01").select("k", "month", "amt", "qty", "n", "year")
+
+
+@query("""select cast(date_trunc('month', o_orderdate) as date) as month, cast(o_orderkey as varchar) as order_key, case when o_orderkey % 10 = 0 then null else cast(o_totalprice as double) end as total_price, o_orderpriority as priority_text from orders""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns with untidy names: typed, coerced and trimmed on the way in."""
+    rows = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 10 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    text = rows.select(F.date_format("o_orderdate", "yyyy-MMM").alias("Month"), F.col("o_orderkey").alias("Order  Key"), price.alias("Total-Price"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("Priority (text)"))
+    path = files.scratch_dir(spark)
+    text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    out = files.scan_csv(spark, files.Source(path, ("order_key", "priority_text"), ("month", "total_price")))
+    return out.select("month", "order_key", "total_price", F.trim("priority_text").alias("priority_text"))
+
+
+@query("""select r_regionkey as id, r_name as name, null as nation, 'a' as part from region union all select n_nationkey, null, n_name, 'b' from nation""")
+def scan_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs of files with different columns, united by name."""
+    base = files.scratch_dir(spark)
+    files.write_single(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("a").alias("part")), f"{base}/a")
+    files.write_single(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nation"), F.lit("b").alias("part")), f"{base}/b")
+    return files.scan_many(spark, f"{base}/a/*.parquet", f"{base}/b/*.parquet").select("id", "name", "nation", "part")
+
+
+@query("select r_regionkey, cast(count(*) as bigint) as n from (select r_regionkey from region union all select r_regionkey from region where r_regionkey > 1) group by 1")
+def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch_dir(spark)
+    rows = table(spark, sf_dir, "region").select("r_regionkey")
+    files.append(rows, path)
+    files.append(rows.where("r_regionkey > 1"), path)
+    return spark.read.schema("r_regionkey bigint").json(path).groupBy("r_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("select 'absent.txt' as name, cast(1 as bigint) as size, 'x' as sha256")
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files against a manifest of theirs and one file more."""
+    path = files.scratch_dir(spark)
+    table(spark, sf_dir, "nation").select("n_name").coalesce(1).write.text(path)
+    found = files.file_manifest(spark, f"{path}/part-*")
+    more = spark.sql("select 'absent.txt' as name, 1L as size, 'x' as sha256")
+    bad = quality.integrity(spark.read.format("binaryFile").load(f"{path}/part-*"), files.snapshot(found.unionByName(more), files.scratch_dir(spark)))
+    return bad.select("name", "size", "sha256")
+
+
+@query("select 'sector_' || n_nationkey as found from nation union all select 'sector_0' from nation where n_nationkey = 3")
+def text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch_dir(spark)
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("# see [sector_"), "n_nationkey", F.lit("] and"), F.when(F.col("n_nationkey") == 3, " [sector_0]").otherwise(" [other]")).alias("value"))
+    lines.write.text(path)
+    return files.extract_text(spark, path, r"\[(sector_\d+)\]")
+
+
+@query(f"""with {P}, s as (select strftime(month, '%Y %b') || '_sector ' || k as id, coalesce(qty, 0) as prediction from p where month > date '2001-03-01') select * from s""")
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_panel(spark, sf_dir).select("month", fn.panel_id("month", "k").alias("id"), F.coalesce("qty", F.lit(0.0)).alias("prediction"))
+    return forecast.submission(rows.where(F.col("month") > F.lit("2001-03-01").cast("date")).select("id"), rows.select("id", "prediction"))
+
+
+@query(f"with {NAIVE} select {_CAPPED} as score from nv where yhat is not null")
+def score_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = metrics.ScoreEvaluator("y", "yhat").evaluate(naive(spark, sf_dir).where("yhat is not null"))
+    return spark.createDataFrame([(score,)], "score double").select(r6("score", "score"))
+
+
+@query(f"""with {P}, x as (select amt as y, qty as a, cast(n as double) as b from p where amt is not null), s as (select covar_pop(a, b) as ab, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from x)
+  select 'qty' as feature, round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 3) as coefficient from s union all select 'n', round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 3) from s""")
+def ridge_without_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = models.ridge(supplier_panel(spark, sf_dir).where("amt is not null"), ["qty", "n"], "amt", 0.0)
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(["qty", "n"], model.coefficients)], "feature string, coefficient double").select("feature", F.round("coefficient", 3).alias("coefficient"))
+
+
+@query("select 'price' as name union all select 'size' from part having abs(corr(p_retailprice, p_size)) <= 0.98")
+def uncorrelated_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 2 + 1).alias("double"), F.col("p_size").cast("double").alias("size"))
+    return spark.createDataFrame([(n,) for n in search.uncorrelated(rows, ["price", "double", "size"])], "name string")
+
+
+@query("""with t as (select o_custkey as k, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders group by 1), r as (select *, row_number() over (order by total desc, k) as r from t)
+  select k, total, cast((r - 1) // 16 as int) as page from r where r <= 40""")
+def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 greatest totals, 16 to a page."""
+    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    best = totals.orderBy(F.desc("total"), "k").limit(40)
+    return spine.ranked(best, [F.desc("total"), F.col("k")], "r").select("k", "total", F.floor((F.col("r") - 1) / 16).cast("int").alias("page"))
+
+
+@query(f"""with {P}, t as (select k, month, amt, qty, n, lag(amt) over (partition by k order by month) as l from p) select k, month, round(coalesce(amt / nullif(l, 0), 0), 6) as ratio, round(amt - qty * 1000, 6) as residual from t""")
+def ratios_and_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_panel(spark, sf_dir).withColumn("l", F.lag("amt").over(win.series("k")))
+    return rows.select("k", "month", r6(fn.ratio(F.col("amt"), F.col("l")), "ratio"), r6(F.col("amt") - F.col("qty") * 1000, "residual"))
+
+
+@query()
+def informative_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metric_lags(spark, sf_dir).join(supplier_panel(spark, sf_dir).select("k", "month", "amt"), ["k", "month"])
+    return search.informative(rows, ["amt_lag_1", "amt_lag_3", "qty_lag_1", "qty_lag_12"], "amt", "month", 3)
+
+
+@query()
+def guarded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns whose derived features go, by drift and back-test."""
+    gone = project.suppressed(projection_drift(spark, sf_dir), projection_backtest(spark, sf_dir))
+    return spark.createDataFrame([(c, c in gone) for c in ("amt",)], "column string, suppressed boolean")
+
+
+@query()
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of a ridge penalty, each scored on the last fold."""
+    rows = metrics.assign_folds(_lagged(spark, sf_dir), FOLDS[-1:])
+    cols = ["amt_lag_1", "amt_lag_12"]
+    train, valid = rows.where("role = 'train'"), models.assemble(rows.where("role = 'valid'"), cols)
+    score = lambda c: metrics.ScoreEvaluator("amt", "prediction").evaluate(models.ridge(train, cols, "amt", c["alpha"]).transform(valid))
+    _, best, log = models.random_search({"alpha": lambda rng: rng.uniform(0, 5)}, score, 3)
+    return spark.createDataFrame([(t["trial"], t["config"]["alpha"], float(t["score"]), t["score"] == best) for t in log], "trial int, alpha double, score double, best boolean")

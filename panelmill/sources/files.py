@@ -1,10 +1,15 @@
-"""Sources and sinks: typed text scans, Parquet, CSV, JSON, appending logs, integrity manifests."""
+"""Sources and sinks: typed text scans, Parquet, CSV, JSON, appending logs, folders, integrity manifests."""
 
 from __future__ import annotations
 
 import json
 import os
+import platform
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +43,88 @@ def write_text(text: str, path: str) -> None:
         stream.close()
 
 
+def _flat(tree: dict, at: str = "") -> dict[str, str]:
+    out: dict[str, str] = {}
+    for k, v in tree.items():
+        out |= _flat(v, f"{at}{k}.") if isinstance(v, dict) else {f"{at}{k}": v}
+    return out
+
+
+_YAML = re.compile(r"""^(\s*)([^\s#:][^:]*?)\s*:(?:\s+("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^#\s'"](?:(?!\s#).)*))?(?:\s+#.*)?\s*$""")
+
+
+def read_yaml(text: str) -> dict[str, str]:
+    """Scalars of nested ``key: value`` lines, keys joined by dots; quotes and comments as in YAML. Lists are refused."""
+    out: dict[str, str] = {}
+    nest: list[tuple[int, str]] = []
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() == "---":
+            continue
+        m = _YAML.match(line)
+        if m is None:
+            raise ValueError(f"not a key and a value: {line!r}")
+        depth, key, value = len(m[1]), m[2].strip("'\""), m[3]
+        while nest and nest[-1][0] >= depth:
+            nest.pop()
+        name = ".".join([*(k for _, k in nest), key])
+        if value is None:
+            nest.append((depth, key))
+        elif value[0] in "'\"":
+            out[name] = json.loads(value) if value[0] == '"' else value[1:-1].replace("''", "'")
+        else:
+            out[name] = value.strip()
+    return out
+
+
+_OWN_DIR: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``; in a local session without it, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN_DIR:
+            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="panelmill-"))
+        base = _OWN_DIR[0]
+    return f"{base}/panelmill-{uuid.uuid4().hex}"
+
+
+def fresh_folder(path: str) -> str:
+    """An empty folder at ``path``; what was there goes."""
+    fs, at = _store(path)
+    fs.delete(at, True)
+    fs.mkdirs(at)
+    return path
+
+
+def move(path: str, to: str) -> None:
+    """Move a file or folder; fails if ``to`` exists."""
+    fs, at = _store(path)
+    if fs.exists(_store(to)[1]) or not fs.rename(at, _store(to)[1]):
+        raise FileExistsError(to)
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read back, so that later steps start from files."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions of what the library runs on, and the session's size."""
+    names = ("pyspark", "numpy", "pandas", "pyarrow")
+    return {"python": platform.python_version(), "spark": spark.version, "default_parallelism": str(spark.sparkContext.defaultParallelism)} | {n: metadata.version(n) for n in names}
+
+
+def require_versions(spark: SparkSession, least: dict[str, str]) -> None:
+    """Raise if something is older than wanted."""
+    have, number = environment(spark), lambda v: tuple(int(x) for x in re.findall(r"\d+", v)[:3])
+    if old := {n: have.get(n) for n, v in least.items() if n not in have or number(have[n]) < number(v)}:
+        raise RuntimeError(f"too old or absent: {old}")
+
+
 @dataclass(frozen=True)
 class Source:
     """A CSV table: where it is, its text keys; every other column is a measure."""
@@ -56,13 +143,9 @@ class Paths:
 
     @classmethod
     def load(cls, path: str) -> "Paths":
-        """From JSON, or YAML of plain ``key: value`` lines."""
+        """From JSON, or YAML of nested ``key: value`` lines; nested keys are joined by dots."""
         text = read_text(path).removeprefix("\ufeff")
-        if path.endswith(".json"):
-            tables = json.loads(text)
-        else:
-            pairs = (line.split("#")[0].split(":", 1) for line in text.splitlines() if ":" in line.split("#")[0])
-            tables = {k.strip(): v.strip().strip("'\"") for k, v in pairs if v.strip()}
+        tables = _flat(json.loads(text)) if path.endswith(".json") else read_yaml(text)
         return cls(os.path.dirname(os.path.abspath(path)), tables)
 
     def __getitem__(self, name: str) -> str:

@@ -57,6 +57,8 @@ def test_without_sql(spark, sf_dir, name):
         "feature_inventory": lambda: sum(r.n for r in got) <= 20,
         "gain_importance": lambda: abs(sum(r.importance for r in got) - 1) < 1e-9,
         "learner_folds": lambda: len(got) == 6 and sum(r.best_fold for r in got) == 3 and len({r.model for r in got if r.best_model}) == 1 and all(0 <= r.score <= 1 for r in got),
+        "informative_columns": lambda: len(got) == 3 and all(r.mi >= 0 for r in got),
+        "random_search": lambda: len(got) == 3 and max(r.score for r in got) == next(r.score for r in got if r.best),
         "nfkc_slugs": lambda: all(r.slug == r.slug.lower() for r in got),
     }
     assert checks.get(name, lambda: True)()

@@ -287,3 +287,22 @@ def test_density_and_search(spark):
 
     df = spark.createDataFrame([(2.0, 1.0, 3.0), (4.0, None, 1.0), (1.0, None, None)], "d double, z1 double, z2 double")
     assert [r.d_x_search for r in cross.density_search(df, ["d"], ["z1", "z2"]).collect()] == [4.0, 4.0, None]
+
+
+def test_nested_settings_folders_and_versions(spark, tmp_path):
+    text = "# paths\n---\nbase:\n  raw: data/raw  # folder\n  deep:\n    a: 'it''s # here'\n  b: \"x: \\\"y\\\"\"\nseed: 29\nurl: s3://a/b#c\n"
+    assert files.read_yaml(text) == {"base.raw": "data/raw", "base.deep.a": "it's # here", "base.b": 'x: "y"', "seed": "29", "url": "s3://a/b#c"}
+    with pytest.raises(ValueError):
+        files.read_yaml("- a\n- b\n")
+    files.write_text(text, str(tmp_path / "c.yaml"))
+    assert files.Paths.load(str(tmp_path / "c.yaml"))["base.raw"] == str(tmp_path / "data/raw")
+    folder = files.fresh_folder(str(tmp_path / "out"))
+    files.write_json({"a": {"b": [1, None, "é"]}}, f"{folder}/r.json")
+    files.move(folder, str(tmp_path / "kept"))
+    assert "é" in files.read_text(str(tmp_path / "kept" / "r.json"))
+    with pytest.raises(FileExistsError):
+        files.move(files.fresh_folder(folder), str(tmp_path / "kept"))
+    assert files.snapshot(spark.range(3), str(tmp_path / "s")).count() == 3
+    files.require_versions(spark, {"spark": "3.5", "numpy": "1.20"})
+    with pytest.raises(RuntimeError):
+        files.require_versions(spark, {"spark": "99.0"})
