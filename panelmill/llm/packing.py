@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import string
 import sys
+import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -25,29 +26,36 @@ from panelmill.llm._common import materialize, remove, slices
 CAPACITY = 1024
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = 2) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = 2, digest: bool = False) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
 
     A document is its ids and then ``eos``; a null or empty text is ``eos`` alone. Only a document longer than
     ``capacity`` is cut: its first piece takes the remainder, all others are full. ``tokenizer`` is a file that all
-    executors can read. Repeated rows give repeated pieces; other columns are ignored.
+    executors can read. ``digest``: ids_crc32 in place of the ids. Repeated rows give repeated pieces; other columns are
+    ignored.
     """
+    last = ("ids_crc32", pa.int64(), "long") if digest else ("ids", pa.binary(), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ChunkEncoder(tokenizer)
         end = int(eos).to_bytes(4, "little")
         for batch in slices(batches, most=1_000_000):
             out: list[list] = [[], [], [], [], []]
+            docs, pieces, starts, lengths, bodies = (c.append for c in out)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 n = len(ids) // 4
-                at = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
+                at = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else (0, n)
+                view = memoryview(ids)
                 for piece, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    for col, x in zip(out, (doc, piece, a, b - a, ids[4 * a : 4 * b])):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids"])
+                    docs(doc)
+                    pieces(piece)
+                    starts(a)
+                    lengths(b - a)
+                    bodies(zlib.crc32(view[4 * a : 4 * b]) if digest else ids[4 * a : 4 * b])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), last[1]))], names=["doc_id", "piece", "start", "length", last[0]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {last[0]} {last[2]}")
 
 
 class ChunkEncoder:
@@ -86,9 +94,7 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         """Make all ``chunks`` known. Marks at the end of a word are tokens of their own: they and the word are learned apart."""
         new, joined, known, old = {}, [], self.known, self.old
-        for c in chunks:
-            if c in known:
-                continue
+        for c in chunks.difference(known):
             if c in old:
                 known[c] = old[c]
                 continue
@@ -261,6 +267,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eo
 
 def pack_digests(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = 2) -> DataFrame:
     """As ``pack_documents`` with ``ids_crc32`` in place of the ids, so that no ids are shuffled."""
-    pieces = token_pieces(docs, tokenizer, capacity, eos).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias("pid"))
-    pieces = materialize(pieces, "pieces")
+    pieces = token_pieces(docs, tokenizer, capacity, eos, digest=True)
+    pieces = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     return pieces.join(pack(pieces.select("pid", "length"), capacity), "pid").drop("pid")
