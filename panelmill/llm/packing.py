@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
     last = ("ids_crc32", pa.int64(), "long") if digest else ("ids", pa.binary(), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer)
+        encode = encoder(tokenizer)
         end = int(eos).to_bytes(4, "little")
         for batch in slices(batches, most=1_000_000):
             out: list[list] = [[], [], [], [], []]
@@ -68,7 +68,7 @@ class ChunkEncoder:
 
     _UNSAFE = re.compile(r"\s ")
 
-    def __init__(self, tokenizer: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,6 +142,17 @@ class ChunkEncoder:
         return [h + b"".join(map(self.known.__getitem__, p[1:])) if p else h for h, p in zip(heads, parts)]
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(tokenizer: str) -> ChunkEncoder:
+    """One encoder a worker process, which its tasks share: chunks of earlier tasks are known."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
+    return _ENCODERS[tokenizer]
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item: longest first, into the fullest bin with room for it."""
     order = np.argsort(-lengths, kind="stable")
