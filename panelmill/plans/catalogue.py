@@ -11,6 +11,7 @@ from panelmill.functions import columns as fn
 from panelmill.operators import cross, forecast, impute, metrics, models, project, quality, search, spine
 from panelmill.operators import windows as win
 from panelmill.plans.feature_plan import category_counts, standard_plan
+from panelmill.plans.shared import shared
 from panelmill.sources import files
 from panelmill.streaming.events import windowed_totals
 
@@ -72,7 +73,7 @@ def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spine.densify(supplier_facts(spark, sf_dir), "k")
+    return shared(spark, "supplier_panel", [f"{sf_dir}/lineitem.parquet"], lambda: spine.densify(supplier_facts(spark, sf_dir), "k"))
 
 
 def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse: most cells are null."""
-    return spine.densify(customer_facts(spark, sf_dir), "k")
+    return shared(spark, "customer_panel", [f"{sf_dir}/orders.parquet"], lambda: spine.densify(customer_facts(spark, sf_dir), "k"))
 
 
 def with_city(spark: SparkSession, sf_dir: str, panel: DataFrame) -> DataFrame:
@@ -92,7 +93,8 @@ def with_city(spark: SparkSession, sf_dir: str, panel: DataFrame) -> DataFrame:
 
 def monthly_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("month")).agg(F.expr(FACT).cast("double").alias("amt"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
+    total = rows.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("month")).agg(F.expr(FACT).cast("double").alias("amt"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
+    return shared(spark, "monthly_total", [f"{sf_dir}/lineitem.parquet"], lambda: total)
 
 
 P = f"""f as (select cast(date_trunc('month', l_shipdate) as date) as month, l_suppkey as k, cast({FACT} as double) as amt,
@@ -590,7 +592,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # no SQL: learned, iterative or of library functions
-@query()
+@query("""select doc_id, source, regexp_replace(regexp_replace(lower(lang || ' ' || source), '[^0-9a-z]+', '_', 'g'), '^_|_$', '', 'g') as slug from documents""")
 def nfkc_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return docs.select("doc_id", fn.nfkc("source").alias("source"), fn.slug(F.concat_ws(" ", "lang", "source")).alias("slug"))
@@ -624,9 +626,11 @@ def keyword_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.mutual_information(metric_lags(spark, sf_dir).join(supplier_panel(spark, sf_dir).select("k", "month", "amt"), ["k", "month"]), ["amt_lag_1", "amt_lag_3", "qty_lag_1"], "amt")
 
 
-@query()
+@query(f"""with {P}, x as (select k, month, coalesce(amt, 0) as amt, row_number() over (partition by k order by month desc) as age from p), b as (select k, max(month) as last, avg(case when age <= 12 then amt end) - avg(case when age between 13 and 24 then amt end) as step from x group by k)
+  select b.k, cast(last + to_months(cast(13 - age as int)) as date) as month, round(greatest(x.amt + coalesce(step, 0), 0), 6) as forecast from b join x on x.k = b.k where age between 7 and 12""")
 def seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.seasonal_forecast(supplier_panel(spark, sf_dir).fillna(0.0, ["amt"]), "k", "amt", 6)
+    out = models.seasonal_forecast(supplier_panel(spark, sf_dir).fillna(0.0, ["amt"]), "k", "amt", 6)
+    return out.select("k", "month", r6("forecast", "forecast"))
 
 
 @query()
@@ -638,7 +642,12 @@ def tweedie_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(models.assemble(scaled.where(F.col("month") >= F.lit(START).cast("date")), cols)).select("k", "month", "amt", "prediction")
 
 
-@query()
+_AT = "max(a) filter (month = date '{}-01')".format
+
+
+@query(f"""with {P}, q as (select k, month, coalesce(amt, 0) as a from p), y as (select k, {_AT('2001-03')} as a3, {_AT('2001-04')} as a4, {_AT('2001-05')} as a5, {_AT('2000-06')} as l6, {_AT('2000-07')} as l7, {_AT('2000-08')} as l8 from q group by k),
+  f1 as (select *, greatest(((a3 + a4 + a5) / 3 + l6) / 2, 0) as x1 from y), f2 as (select *, greatest(((a4 + a5 + x1) / 3 + l7) / 2, 0) as x2 from f1), f3 as (select *, greatest(((a5 + x1 + x2) / 3 + l8) / 2, 0) as x3 from f2)
+  select k, date '2001-06-01' as month, round(x1, 6) as prediction from f3 union all select k, date '2001-07-01', round(x2, 6) from f3 union all select k, date '2001-08-01', round(x3, 6) from f3""")
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = win.series("k")
     panel = supplier_panel(spark, sf_dir).select("k", "month", F.coalesce("amt", F.lit(0.0)).alias("amt"))
@@ -650,14 +659,15 @@ def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-"))  # none is named: a local run
-    return forecast.recursive_forecast(panel, "amt", "k", ["2001-06-01", "2001-07-01", "2001-08-01"], features, predict, lambda d: d.checkpoint())
+    out = forecast.recursive_forecast(panel, "amt", "k", ["2001-06-01", "2001-07-01", "2001-08-01"], features, predict, lambda d: d.checkpoint())
+    return out.select("k", "month", r6("prediction", "prediction"))
 
 
-@query()
+@query("select * from (values ('growth', 2), ('lags', 8), ('log1p', 1), ('rolling', 6), ('zscore', 1)) as t(category, n)")
 def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = standard_plan(["amt", "qty"], "k")
     out = plan.budget(plan.guard(plan.build(supplier_panel(spark, sf_dir).drop("n")), ["qty"]), 20)
-    return category_counts(plan, out)
+    return category_counts(plan, out).withColumn("n", F.col("n").cast("int"))
 
 
 # preparation
@@ -736,24 +746,6 @@ def ols_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("feature <> '(intercept)'").select("feature", *(F.round(c, 3).alias(c) for c in ("coefficient", "std_error", "t")))
 
 
-@query(f"""with {P}, x as (select k, month, coalesce(amt, 0) as amt, row_number() over (partition by k order by month desc) as age from p), b as (select k, max(month) as last, avg(case when age <= 12 then amt end) - avg(case when age between 13 and 24 then amt end) as step from x group by k)
-  select b.k, cast(last + to_months(cast(13 - age as int)) as date) as month, round(greatest(x.amt + coalesce(step, 0), 0), 6) as forecast from b join x on x.k = b.k where age between 7 and 12""")
-def seasonal_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasonal(spark, sf_dir).select("k", "month", r6("forecast", "forecast"))
-
-
-@query("""select doc_id, source, regexp_replace(regexp_replace(lower(lang || ' ' || source), '[^0-9a-z]+', '_', 'g'), '^_|_$', '', 'g') as slug from documents""")
-def ascii_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nfkc_slugs`` on the tables, whose keys are ASCII."""
-    return nfkc_slugs(spark, sf_dir)
-
-
-@query("select * from (values ('growth', 4), ('lags', 8), ('log1p', 2), ('rolling', 12), ('zscore', 2)) as t(category, n)")
-def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = standard_plan(["amt", "qty"], "k")
-    return category_counts(plan, plan.build(supplier_panel(spark, sf_dir).drop("n"))).withColumn("n", F.col("n").cast("int"))
-
-
 def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = target_lags(spark, sf_dir).join(supplier_panel(spark, sf_dir).select("k", "month", "amt"), ["k", "month"])
     return rows.where("amt is not null and amt_lag_12_was_imputed = 0").select("k", "month", "amt", "amt_lag_1", "amt_lag_12")

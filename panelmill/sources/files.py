@@ -91,6 +91,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base}/panelmill-{uuid.uuid4().hex}"
 
 
+def exists(path: str) -> bool:
+    fs, at = _store(path)
+    return fs.exists(at)
+
+
+def stamp(path: str) -> tuple:
+    """Names, sizes and times of the files at ``path``, a file or a folder."""
+    fs, at = _store(path)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
+
+
 def fresh_folder(path: str) -> str:
     """An empty folder at ``path``; what was there goes."""
     fs, at = _store(path)
