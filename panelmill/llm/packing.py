@@ -91,60 +91,55 @@ class ChunkEncoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in out]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of ``chunks``, which are not known. Marks at the end of a word are tokens of their own: they and the word are learned apart."""
-        known, old, new = self.known, self.old, {}
-        plain, rest, joined = [], [], []
-        for c in chunks:
-            if (ids := old.get(c)) is not None:
-                new[c] = ids
-            elif c.isalpha():
-                plain.append(c)
-            else:
-                body = c.rstrip(string.punctuation)
-                if not body or len(body) == len(c) or not body[-1].isalnum():
-                    rest.append(c)
+    def _learn(self, chunks: set[str]) -> None:
+        """Make all ``chunks`` known. Marks at the end of a word are tokens of their own: they and the word are learned apart."""
+        new, joined, known, old = {}, [], self.known, self.old
+        for c in chunks.difference(known):
+            if c in old:
+                known[c] = old[c]
+                continue
+            body = c.rstrip(string.punctuation)
+            if not body or len(body) == len(c) or not body[-1].isalnum():
+                new[c] = None
+                continue
+            joined.append((c, body, c[len(body) :]))
+            if body not in known:
+                if body in old:
+                    known[body] = old[body]
                 else:
-                    joined.append((c, body, c[len(body) :]))
+                    new[body] = None
         if len(self.marks) > 10_000:
             self.marks.clear()
         if lost := [m for m in {m for _, _, m in joined} if m not in self.marks]:
             self.marks.update(zip(lost, self._whole(lost)))
-        for body in {body for _, body, _ in joined}.difference(plain, rest, new):
-            if (ids := known.get(body) or old.get(body)) is not None:
-                new[body] = ids
-            else:
-                (plain if body.isalpha() else rest).append(body)
-        self._encode(plain, rest, new)
-        marks = self.marks
-        new.update([(c, new[body] + marks[mark]) for c, body, mark in joined])
-        known.update(new)
-        return new
-
-    def _encode(self, plain: list[str], rest: list[str], new: dict[str, bytes]) -> None:
+        self._encode(list(new))
+        for c, body, mark in joined:
+            known[c] = known[body] + self.marks[mark]
+
+    def _encode(self, new: list[str]) -> None:
+        plain, rest = [], []
+        for c in new:
+            (plain if c.isalpha() else rest).append(c)
         odd = []
         for tok, chunks in ((self.plain, plain), (self.tok, rest)):
             groups = [chunks[i : i + 500] for i in range(0, len(chunks), 500)]
-            for group, enc in zip(groups, tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            for group, enc in zip(groups, tok.encode_batch_fast(["".join(" " + c for c in g) for g in groups], add_special_tokens=False)):
                 ids = np.array(enc.ids, "<u4")
                 first = np.flatnonzero(self.leads[ids])  # a chunk has one blank, at its start
                 if len(first) != len(group):  # chunks that are empty or end in white space run into the next
                     odd += group
                     continue
                 raw, at = ids.tobytes(), (4 * first).tolist()
-                new.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
-        new.update(zip(odd, self._whole([" " + c for c in odd])))
+                self.known.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        self.known.update(zip(odd, self._whole([" " + c for c in odd])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
         parts = [None if self._UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        chunks = {c for p in parts if p for c in p[1:]}
-        # the batch's own chunks in a dictionary of their own: it is small, and each is looked for once in the large one
-        own = dict(zip(chunks, map(self.known.get, chunks)))
-        own.update(self._learn([c for c, ids in own.items() if ids is None]))
+        self._learn({c for p in parts if p for c in p[1:]})
         heads = self._whole([p[0] if p else t for p, t in zip(parts, texts)])
-        return [h + b"".join(map(own.__getitem__, p[1:])) if p else h for h, p in zip(heads, parts)]
+        return [h + b"".join(map(self.known.__getitem__, p[1:])) if p else h for h, p in zip(heads, parts)]
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
