@@ -326,7 +326,7 @@ def impute_city(spark: SparkSession, sf_dir: str) -> DataFrame:
   c as (select *, coalesce(f, quantile_cont(f, 0.5) over (partition by month)) as h from a), g as (select quantile_cont(h, 0.5) as g from c)
   select k, month, round(coalesce(h, g, 0), 6) as amt, cast(amt is null and month > hi as int) as amt_synthetic from c cross join g cross join b""")
 def future_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = supplier_facts(spark, sf_dir)
+    facts = supplier_panel(spark, sf_dir).where("n is not null")
     hi = facts.agg(F.max("month")).first()[0]
     until = f"{hi.year + 1:04d}-{hi.month:02d}-01"
     return impute.extend_future(spine.densify(facts, "k", until=until), "amt", "k", str(hi)).select("k", "month", r6("amt", "amt"), "amt_synthetic")
