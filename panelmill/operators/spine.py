@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.sources import files
+
 
 def months_between(df: DataFrame, month: str = "month", until: str | None = None) -> DataFrame:
     """Every month from the first to the last in ``df``, or to ``until``."""
@@ -78,10 +80,15 @@ def extrapolate_annual(annual: DataFrame, year: str, value: str, until: int) ->
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` and its row number in ``order``, from 1 (O1, O2), without a window over the whole table.
 
-    Rows are parted by range and numbered within each part; the parts' sizes, one row each, make the offsets.
+    Rows are parted by range, sorted and numbered within each part, and written; the parts' sizes, one row each, make the
+    offsets. Written, because the borders between parts are sampled: a second pass over the rows draws others.
     """
-    parts = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    sizes = parts.groupBy("part_").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("part_", "n")).alias("sizes_"))
+    path = files.scratch_dir(df.sparkSession)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path).withColumn("part_", F.shiftright("place_", 33))
+    sizes = rows.groupBy("part_").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("part_", "n")).alias("sizes_"))
     before = F.aggregate(F.filter("sizes_", lambda s: s["part_"] < F.col("part_")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    own = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return parts.withColumn("own_", own).join(F.broadcast(sizes)).select(*df.columns, (before + F.col("own_")).cast("int").alias(name))
+    offsets = sizes.select("sizes_", F.explode("sizes_.part_").alias("part_")).select("part_", before.alias("before_"))
+    own = F.col("place_").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(offsets), "part_").select(*df.columns, (F.col("before_") + own).cast("int").alias(name))

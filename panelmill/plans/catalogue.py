@@ -676,7 +676,8 @@ def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of ``sector N`` by its number and by its text: ordered runs, no window over the whole table."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("sector "), F.col("p_partkey")).alias("name"))
-    return spine.ranked(spine.ranked(parts, fn.natural_key("name"), "natural_rank"), [F.col("name")], "text_rank").where("natural_rank <= 500").select("id", "natural_rank", "text_rank")
+    last = lambda keys: [c.asc_nulls_last() for c in keys]
+    return spine.ranked(spine.ranked(parts, last(fn.natural_key("name")), "natural_rank"), last([F.col("name")]), "text_rank").where("natural_rank <= 500").select("id", "natural_rank", "text_rank")
 
 
 @query("select p_partkey, cast(p_size as tinyint) as p_size, cast(p_partkey % 30000 as smallint) as small_key from part")

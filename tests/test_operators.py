@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import columns as fn
 from panelmill.operators import impute, metrics, models, project, quality, quantiles, search, spine
 from panelmill.operators import windows as win
+from panelmill.plans import catalogue
 from panelmill.plans.feature_plan import standard_plan
 from panelmill.sources import files
 from panelmill.streaming import events
@@ -263,6 +264,19 @@ def test_row_order_fill_and_ranks(spark):
     assert [r.name for r in spine.ranked(names, fn.natural_key("name"), "r").orderBy("r").collect()] == [f"sector {n}" for n in (1, 9, 10, 11, 100)]
 
 
+def test_ranks_of_more_rows_than_the_borders_sample(spark):
+    n = 200_000
+    df = spark.range(n).select(F.concat(F.lit("sector "), F.col("id")).alias("name"), "id", F.sha1(F.col("id").cast("string")).alias("more"))
+    got = spine.ranked(spine.ranked(df, fn.natural_key("name"), "number"), [F.desc("name")], "text").select("id", "number", "text").toPandas().set_index("id").sort_index()
+    assert got.number.tolist() == list(range(1, n + 1))
+    assert got.text.sort_values().index.tolist() == sorted(range(n), key=str, reverse=True) and set(got.text) == set(range(1, n + 1))
+
+
+def test_natural_order_ranks_a_missing_key_last(spark, tmp_path):
+    spark.createDataFrame([(10,), (None,), (9,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(map(tuple, catalogue.queries()["natural_order"](spark, str(tmp_path)).collect()), key=str) == [(10, 2, 1), (9, 1, 2), (None, 3, 3)]
+
+
 def test_downcast_refuses_what_does_not_fit(spark):
     df = spark.createDataFrame([(1,), (None,)], "a long")
     assert dict(fn.downcast(df, {"a": "tinyint"}).dtypes) == {"a": "tinyint"}
