@@ -74,14 +74,15 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        # chunks of letters alone are one pre-token each: the same model without the pattern, and without a second cache
+        # chunks of letters alone are one pre-token each: the same model without pattern or parting, and without a second cache
         self.plain = Tokenizer.from_file(tokenizer)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain.model._resize_cache(0)
         self.tok, self.most, self.known, self.old, self.marks = Tokenizer.from_file(tokenizer), most, {}, {}, {}
         vocabulary = self.tok.get_vocab()
-        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.leads[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # a byte-level vocabulary's blank
+        self.leads = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in " \n"}
+        for lead, sign in ((" ", "\u0120"), ("\n", "\u010a")):  # a byte-level vocabulary's blank and line feed
+            self.leads[lead][[i for t, i in vocabulary.items() if t == sign or (lead == " " and t[0] == sign)]] = True
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -91,55 +92,84 @@ class ChunkEncoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in out]
 
+    def _missing(self, words: set[str]) -> set[str]:
+        new = words.difference(self.known)
+        if self.old:
+            back = [c for c in new if c in self.old]
+            self.known.update(zip(back, map(self.old.__getitem__, back)))
+            new.difference_update(back)
+        return new
+
     def _learn(self, chunks: set[str]) -> None:
-        """Make all ``chunks`` known. Marks at the end of a word are tokens of their own: they and the word are learned apart."""
-        new, joined, known, old = {}, [], self.known, self.old
-        for c in chunks.difference(known):
-            if c in old:
-                known[c] = old[c]
+        """Make all ``chunks`` known.
+
+        Marks at the end of a word are tokens of their own, and so is a line feed between a word or its marks and a word:
+        words and marks are learned apart. The word after a line feed has no blank: its key has one, as no chunk does.
+        """
+        plain, rest, joined, marks = [], [], [], string.punctuation
+        new = self._missing(chunks)
+        for c in new:
+            if c.isalpha():
+                plain.append(c)
                 continue
-            body = c.rstrip(string.punctuation)
-            if not body or len(body) == len(c) or not body[-1].isalnum():
-                new[c] = None
+            body = c.rstrip(marks)
+            word, feed, second = body.partition("\n")
+            if feed:
+                word = word.rstrip(marks)
+                if word and second and word[-1].isalnum() and second[0].isalnum() and second[-1].isalnum():
+                    joined.append((c, word, body[len(word) : -len(second)], " " + second, c[len(body) :]))
+                    continue
+            elif body and len(body) < len(c) and body[-1].isalnum():
+                joined.append((c, body, c[len(body) :], None, ""))
                 continue
-            joined.append((c, body, c[len(body) :]))
-            if body not in known:
-                if body in old:
-                    known[body] = old[body]
-                else:
-                    new[body] = None
+            rest.append(c)
+        bare = []
+        for c in self._missing({w for _, first, _, second, _ in joined for w in (first, second) if w} - new):
+            (bare if c[0] == " " else plain if c.isalpha() else rest).append(c)
         if len(self.marks) > 10_000:
             self.marks.clear()
-        if lost := [m for m in {m for _, _, m in joined} if m not in self.marks]:
+        if lost := list({m for _, _, first, _, second in joined for m in (first, second)}.difference(self.marks)):
             self.marks.update(zip(lost, self._whole(lost)))
-        self._encode(list(new))
-        for c, body, mark in joined:
-            known[c] = known[body] + self.marks[mark]
-
-    def _encode(self, new: list[str]) -> None:
-        plain, rest = [], []
-        for c in new:
-            (plain if c.isalpha() else rest).append(c)
-        odd = []
-        for tok, chunks in ((self.plain, plain), (self.tok, rest)):
-            groups = [chunks[i : i + 500] for i in range(0, len(chunks), 500)]
-            for group, enc in zip(groups, tok.encode_batch_fast(["".join(" " + c for c in g) for g in groups], add_special_tokens=False)):
-                ids = np.array(enc.ids, "<u4")
-                first = np.flatnonzero(self.leads[ids])  # a chunk has one blank, at its start
-                if len(first) != len(group):  # chunks that are empty or end in white space run into the next
-                    odd += group
-                    continue
-                raw, at = ids.tobytes(), (4 * first).tolist()
-                self.known.update(zip(group, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
-        self.known.update(zip(odd, self._whole([" " + c for c in odd])))
+        self._encode(self.plain, " ", plain, plain)
+        self._encode(self.tok, " ", rest, rest)
+        words = [c[1:] for c in bare if c[1:].isalpha()]
+        self._encode(self.plain, "\n", words, [" " + c for c in words])
+        odd = [c for c in bare if not c[1:].isalpha()]
+        self.known.update(zip(odd, self._whole([c[1:] for c in odd])))
+        known, mark = self.known, self.marks
+        for c, first, between, second, end in joined:
+            known[c] = known[first] + mark[between] + known[second] + mark[end] if second else known[first] + mark[between]
+
+    def _encode(self, tok, lead: str, words: list[str], keys: list[str]) -> None:
+        """The ids of many words by few calls: each with its blank, or without the line feed that only parts them here.
+
+        A word has one lead, at its start. If as many tokens start with it as there are words, no token reaches over a
+        border (a token that did would hold a lead within), so that each word's tokens are its own.
+        """
+        odd, skip = [], lead != " "
+        groups = [(words[i : i + 500], keys[i : i + 500]) for i in range(0, len(words), 500)]
+        for (group, names), enc in zip(groups, tok.encode_batch_fast([lead + lead.join(g) for g, _ in groups], add_special_tokens=False)):
+            ids = np.array(enc.ids, "<u4")
+            first = np.flatnonzero(self.leads[lead][ids])
+            if len(first) != len(group):  # chunks that are empty or end in white space run into the next
+                odd += zip(group, names)
+                continue
+            raw, at = ids.tobytes(), (4 * first).tolist()
+            ends = [*at[1:], len(raw)]
+            self.known.update(zip(names, [raw[a + 4 : b] for a, b in zip(at, ends)] if skip else [raw[a:b] for a, b in zip(at, ends)]))
+        self.known.update(zip((n for _, n in odd), self._whole([c if skip else lead + c for c, _ in odd])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-        parts = [None if self._UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        self._learn({c for p in parts if p for c in p[1:]})
-        heads = self._whole([p[0] if p else t for p, t in zip(parts, texts)])
-        return [h + b"".join(map(self.known.__getitem__, p[1:])) if p else h for h, p in zip(heads, parts)]
+        heads, tails = [], []
+        for t in texts:
+            head, blank, tail = (t, "", "") if self._UNSAFE.search(t) or any(a in t for a in self.added) else t.partition(" ")
+            heads.append(head)
+            tails.append(tail.split(" ") if blank else ())
+        self._learn(set().union(*tails))
+        known = self.known.__getitem__
+        return [h + b"".join(map(known, p)) for h, p in zip(self._whole(heads), tails)]
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

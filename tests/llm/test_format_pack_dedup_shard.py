@@ -132,6 +132,32 @@ def test_chunks_encode_as_the_whole(parts):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode([text, text])] == [want, want]
 
 
+def test_words_marks_and_line_feeds_are_learned_apart():
+    from tokenizers import Tokenizer
+
+    rng, marks = np.random.default_rng(3), ["", ".", ",", "***", ".\n", "\n", "!\n", "?\n\n", "\t", ".\u00a0", "\n.", "'s\n", "\r\n"]
+    words = ["".join(rng.choice(list("abcdeéßØñжπ"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(a + marks[m] + b for a, b, m in zip(words[k:], words[k + 1 :], rng.integers(0, len(marks), 3000))) for k in range(3)]
+    tok = Tokenizer.from_file(tokenizer_file())
+    encode = P.ChunkEncoder(tokenizer_file())
+    for t in (texts, [t + " " for t in texts], ["\n" + t for t in texts]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(t)] == [tok.encode(x, add_special_tokens=False).ids for x in t]
+    encode, asked = P.ChunkEncoder(tokenizer_file()), []
+
+    class Asked:  # counts what the pattern is run on
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return self.tok.encode_batch_fast(texts, **more)
+
+    encode.tok = Asked(encode.tok)
+    text = " ".join(f"{a}.\n{b}, {b}\n{a}" for a, b in zip(words, words[1:]) if a.isalpha() and b.isalpha())
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, asked)) < 100 < len(text) // 100
+
+
 def test_rounds_exchange_between_parts(spark):
     sizes = [(i, 100 + (i * 7919) % 900) for i in range(4000)]
     out = rows(P.pack(spark.createDataFrame(sizes, "pid long, length long"), rows_per_part=500))
