@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 
 from panelmill.llm._common import slices
 
-#: Exact phrases, word by word, and their labels.
-PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Exact phrases of the contract, word by word, and their labels.
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
+#: Shortest forms of the same: the phrases of a scanner that is given none.
+SHORT = (("mit license", "mit"), *PHRASES[1:])
 
 #: Notices that are searched with errors: label, text. The exact phrases are among them, and their common framings.
 NOTICES = (
     ("mit", "mit license"),
+    ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
     ("mit", "released under the mit license"),
@@ -71,7 +75,7 @@ def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
 class Scanner:
     """Finds phrases and notices in word sequences."""
 
-    phrases: tuple[tuple[str, str], ...] = PHRASES
+    phrases: tuple[tuple[str, str], ...] = SHORT
     notices: tuple[tuple[str, str], ...] = NOTICES
     letters_per_edit: int = LETTERS_PER_EDIT
 
@@ -139,11 +143,12 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, labels, score and spans (see ``SCHEMA``).
 
     Words: runs of anything but ASCII non-alphanumerics, A-Z lower-cased, counted from 0. n_base counts all places of
-    exact phrases; first_word and last_word are their least and greatest start (null without one). labels adds those of
-    fuzzy notices; spans lists all. score: the best likeness (1 for an exact phrase, 0 without any). Null and empty texts
-    have no words. Repeated rows are rows of their own; other columns are ignored.
+    exact phrases (``PHRASES``, or those of ``scanner``); first_word and last_word are their least and greatest start
+    (null without one). labels adds those of fuzzy notices; spans lists all. score: the best likeness (1 for an exact
+    phrase, 0 without any). Null and empty texts have no words. Repeated rows are rows of their own; other columns are
+    ignored.
     """
-    scanner = scanner or Scanner()
+    scanner = scanner or Scanner(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.list_(pa.string())] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())]))]

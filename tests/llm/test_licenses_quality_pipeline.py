@@ -55,6 +55,18 @@ def test_license_edges(spark, docs, no_docs, clashing):
     assert S.scan_licenses(no_docs).count() == 0
 
 
+def test_base_is_the_contract_s_phrases(spark, tmp_path):
+    """A base place is "under the mit license", from its first word on; "mit license" alone is a label of the method's."""
+    texts = ["so: MIT License", "a b Under-the MIT\tLicense, mit license", "under the mit licence", "under the mit license apache license version 2 cc by nc under the mit license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = "apache-2,cc-by-nc,mit"
+    want = [(0, 3, 0, None, None, "", "mit"), (1, 8, 1, 2, 2, "mit", "mit"), (2, 4, 0, None, None, "", "mit"), (3, 15, 4, 0, 11, every, every)]
+    out = QUERIES["op3_license_scan"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.select(*BASE, "labels").sort("doc_id").collect()] == want
+    for text in ("underthe mit license", "under themit license"):
+        assert {f[0] for f in S.Scanner().fuzzy(f" before it {text} and after ")} == {"mit"}
+
+
 def test_notices_with_errors_are_found():
     rng = random.Random(3)
     scanner = S.Scanner()
